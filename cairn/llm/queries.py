@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import contamination, tokenizer
+from cairn.llm import contamination, shared_spans, tokenizer
 from cairn.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +45,18 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Longest stretches of each document that also stand in another one."""
+    return shared_spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_share(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document, how many of its characters stand in another one."""
+    return shared_spans.shared_share(table(spark, folder, "documents"), "doc_id", "text", p8_found(spark, folder))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p1_clean, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p1_clean, p6_ids, p8_found, p8_share)}
 
 
 def oracle_sql() -> dict[str, str]:
