@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import contamination, shared_spans, tokenizer
+from cairn.llm import contamination, mixing, shared_spans, splitting, tokenizer
 from cairn.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,11 +40,40 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.without_leaks(df.select(key), key, contamination.find_leaks(df, key, text, table(spark, folder, "eval_prompts")))
 
 
+def _split(spark: SparkSession, folder: str, **options: object) -> DataFrame:
+    return splitting.split_texts(table(spark, folder, "material_texts"), "text_id", "text", "max_chars", "overlap_lines", **options)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts over their limit, with a line over it, or with a run over it that has no natural boundary."""
+    return splitting.size_kinds(_split(spark, folder, with_text=False), "text_id")
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every text."""
+    return splitting.piece_rows(_split(spark, folder), "text_id")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sized = tokenizer.count_tokens(table(spark, folder, "documents").select("doc_id", "source", "text"), "text")
+    return mixing.mix_sources(sized, "doc_id", "source", "n_tokens", table(spark, folder, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen documents and how often each occurs."""
+    return _mix(spark, folder)[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of all tokens that each source reaches."""
+    return _mix(spark, folder)[1]
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Longest stretches of each document that also stand in another one."""
     return shared_spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text")
@@ -56,8 +85,20 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p1_clean, p6_ids, p8_found, p8_share)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p1_clean, p4_found, p4_pieces, p6_ids, p7_mix, p7_shares, p8_found, p8_share)}
+
+
+#: Lengths after CR LF and lone CR became LF; runs are what lies between white space and stops.
+P4_SQL = """
+WITH t AS (SELECT text_id, max_chars, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS body
+           FROM material_texts WHERE text IS NOT NULL AND max_chars > 0),
+     k AS (SELECT text_id, max_chars, length(body) AS size, list_max(list_transform(string_split(body, chr(10)), lambda x: length(x))) AS line,
+                  list_max(list_transform(regexp_split_to_array(body, '[\\s\\x{85}\\p{Z}.!?;。！？；]'), lambda x: length(x))) AS run FROM t)
+SELECT DISTINCT text_id, 'oversized' AS kind FROM k WHERE size > max_chars
+UNION SELECT DISTINCT text_id, 'long_line' FROM k WHERE line > max_chars
+UNION SELECT DISTINCT text_id, 'long_run' FROM k WHERE run > max_chars
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_SQL}

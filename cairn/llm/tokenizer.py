@@ -63,6 +63,9 @@ class BytePairVocabulary:
         self.keys, self.rank_of = keys[order], order.astype(np.int32)
         self.merged = np.array([vocabulary[a + b] for a, b in merges], np.int32)
         of_symbol = {s: b for b, s in enumerate(symbols)}
+        self.widths = np.ones(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.widths[i] = len(token)
         self.meets = np.zeros((256, 256), bool)
         for a, b in merges:
             if a[-1] in of_symbol and b[0] in of_symbol:
@@ -82,6 +85,10 @@ class BytePairVocabulary:
         self.length = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.int32)
 
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """Number of bytes that each id stands for."""
+        return self.widths[ids]
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, NONE where there is none."""
         key = left.astype(np.int64) << 32 | right
