@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import contamination, mixing, shared_spans, splitting, tokenizer
+from cairn.llm import boilerplate, contamination, mixing, shared_spans, splitting, tokenizer
 from cairn.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,20 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.piece_rows(_split(spark, folder), "text_id")
 
 
+def _boilerplate(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.find_boilerplate(table(spark, folder, "evidence_items"), "item_id", "title", ["page_excerpt", "source_excerpt"])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each excerpt that hold nothing of the page's main body."""
+    return boilerplate.boilerplate_lines(_boilerplate(spark, folder), "item_id")
+
+
+def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The main body of each excerpt."""
+    return _boilerplate(spark, folder).select("item_id", "field", "body").distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
@@ -85,7 +99,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p1_clean, p4_found, p4_pieces, p6_ids, p7_mix, p7_shares, p8_found, p8_share)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p1_clean, p4_found, p4_pieces, p5_found, p5_bodies, p6_ids, p7_mix, p7_shares, p8_found, p8_share)}
 
 
 #: Lengths after CR LF and lone CR became LF; runs are what lies between white space and stops.
