@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import boilerplate, contamination, mixing, shared_spans, splitting, tokenizer
+from cairn.llm import boilerplate, contamination, mixing, scans, shared_spans, splitting, tokenizer
 from cairn.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.without_leaks(df.select(key), key, contamination.find_leaks(df, key, text, table(spark, folder, "eval_prompts")))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that are page furniture, divide a word, hold misread words, or end a block in mid-paragraph."""
+    return scans.repairs_found(table(spark, folder, "page_blocks"))
+
+
 def _split(spark: SparkSession, folder: str, **options: object) -> DataFrame:
     return splitting.split_texts(table(spark, folder, "material_texts"), "text_id", "text", "max_chars", "overlap_lines", **options)
 
@@ -99,7 +104,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p1_clean, p4_found, p4_pieces, p5_found, p5_bodies, p6_ids, p7_mix, p7_shares, p8_found, p8_share)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p1_clean, p2_found, p4_found, p4_pieces, p5_found, p5_bodies, p6_ids, p7_mix, p7_shares, p8_found, p8_share)}
 
 
 #: Lengths after CR LF and lone CR became LF; runs are what lies between white space and stops.
