@@ -1,44 +1,21 @@
-"""All queries of the core, with SQL of the same result where SQL can say it."""
+"""All queries of the core."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from cairn.operators import timestamps
-from cairn.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
+from cairn.plans import evaluation_queries, event_queries, page_queries, retrieval_queries, text_queries, timestamp_queries, url_queries  # noqa: F401
+from cairn.plans.catalog import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").groupBy("source").count()
-
-
-def _instants(spark: SparkSession, folder: str) -> DataFrame:
-    """Every timestamp of the pages and cases; a page's format habits are those of its host, a case's of its domain."""
-    pages, cases = table(spark, folder, "sources"), table(spark, folder, "eval_cases")
-    host = F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/?#]+)", 1)
-    of_pages = timestamps.normalise_timestamps(pages, "source_id", {c: F.col(c) for c in ("published_at", "retrieved_at")}, F.col("wall_zone"), host)
-    of_cases = timestamps.normalise_timestamps(cases, "question_id", {"source_checked_at": F.col("reference_metadata.source_checked_at")}, F.col("wall_zone"), F.col("domain"))
-    return of_pages.unionByName(of_cases)
-
-
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The UTC instant of each value that names one."""
-    return _instants(spark, folder).where("status = 'resolved' AND record_id IS NOT NULL").select("record_id", "field", "instant_us").distinct()
-
-
-def p3_status(spark: SparkSession, folder: str) -> DataFrame:
-    """How many values of each field were read by which format, and how many stay ambiguous or name no instant."""
-    return _instants(spark, folder).groupBy("field", "status", "format").agg(F.count("*").alias("n_values"), F.min("posterior").alias("least_posterior"))
+    """Ranks the corpus for every test question by substring BM25."""
+    return QUERIES["bm25_topk"](spark, folder)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_status)}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
