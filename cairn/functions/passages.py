@@ -1,0 +1,253 @@
+"""Passages of one text: sentences, chunks, typed literals, quotes. Plain Python, run over Arrow batches by the operators."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Callable
+from datetime import date
+
+#: Abbreviations whose full stop ends no sentence.
+ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "sr", "jr", "vs", "e.g", "i.e", "etc", "fig", "eq", "vol", "al")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+_abbreviated = re.compile(r"(?:\b(?:" + "|".join(re.escape(a) for a in ABBREVIATIONS) + r")|\b[A-Za-z]|\d)$", re.IGNORECASE)
+_stop = re.compile(r"[。！？]+|[.!?]+(?=\s|$)|[!?]+(?=[A-Za-z㐀-鿿])|\.+(?=[A-Z㐀-鿿])")
+_image = re.compile(r"!\[[^\]]*\]\([^)]*\)|<img\b[^>]*>", re.IGNORECASE)
+
+
+def sentences(text: str | None) -> list[str]:
+    """Sentences of a text, trimmed. A full stop after an abbreviation, an initial or between digits ends none."""
+    text, out, start = text or "", [], 0
+    for m in _stop.finditer(text):
+        if m.group() == ".":
+            before, after = text[max(0, m.start() - 6) : m.start()], text[m.end() : m.end() + 1]
+            held = _abbreviated.search(before)
+            if held and (not held.group()[-1].isdigit() or after.isdigit()) and not (held.group()[-1].isdigit() and not after.isdigit()):
+                continue
+        out.append(text[start : m.end()].strip())
+        start = m.end()
+    out.append(text[start:].strip())
+    return [s for s in out if s]
+
+
+def word_count(text: str) -> int:
+    """The token count that stands in where no vocabulary is given: ideographs and runs of word characters."""
+    return len(re.findall(r"[㐀-鿿]|[^\W㐀-鿿]+", text))
+
+
+def _hard_cut(text: str, limit: int, count: Callable[[str], int]) -> list[str]:
+    """Pieces of a text without sentence ends, each within the limit, cut between tokens."""
+    out, piece = [], ""
+    for token in re.findall(r"\s*(?:[㐀-鿿]|[^\W㐀-鿿]+|[^\w\s]+)", text):
+        if piece and count(piece + token) > limit:
+            out.append(piece.strip())
+            piece = ""
+        piece += token
+    return [*out, piece.strip()] if piece.strip() else out
+
+
+def chunks(text: str | None, limit: int = 800, overlap: float = 0.1, count: Callable[[str], int] = word_count) -> list[str]:
+    """Chunks of whole paragraphs within ``limit`` tokens.
+
+    When the next paragraph doesn't fit, the chunk is closed and its last whole sentences, up to the share
+    ``overlap`` of the limit, begin the next one. A paragraph that fits no chunk is packed by sentences, a
+    sentence that fits none is cut between tokens. Images become a short mark.
+    """
+    text = text or ""
+    mark = "[图片]" if len(re.findall("[㐀-鿿]", text)) * 10 > len(text) else "[image]"
+    most = max(1, int(limit * overlap))
+    out: list[str] = []
+    held: list[str] = []
+    size = 0
+
+    def close(parts: list[str]) -> None:
+        nonlocal held, size
+        out.append("\n".join(held))
+        kept, total = [], 0
+        for part in reversed(parts):
+            n = count(part)
+            if total + n > most:
+                break
+            kept.insert(0, part)
+            total += n
+        held, size = kept, total
+
+    for paragraph in (p.strip() for p in _image.sub(mark, text).split("\n")):
+        if not paragraph:
+            continue
+        n = count(paragraph)
+        if size + n > limit and held:
+            close(sentences("\n".join(held)))
+        if size + n <= limit:
+            held.append(paragraph)
+            size += n
+            continue
+        for sentence in sentences(paragraph):
+            n = count(sentence)
+            if size + n > limit:
+                if held:
+                    close(held)
+                if size + n > limit:
+                    parts = _hard_cut(sentence, limit, count)
+                    out.extend(parts[:-1])
+                    held, size = parts[-1:], count(parts[-1]) if parts else 0
+                    continue
+            held.append(sentence)
+            size += n
+    if held:
+        out.append("\n".join(held))
+    return out
+
+
+def line_chunks(text: str | None, limit: int, overlap_lines: int) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of chunks of whole lines within ``limit`` characters, lines counted from 1.
+
+    The last ``overlap_lines`` lines of the chunk before are put in front afterwards, so that a chunk may then
+    exceed the limit. A line over the limit raises ValueError.
+    """
+    lines = re.sub("\r\n?", "\n", text or "").splitlines(keepends=True)
+    base: list[tuple[int, int]] = []
+    start = size = 0
+    for i, line in enumerate(lines):
+        if len(line) > limit:
+            raise ValueError(f"line {i + 1} has {len(line)} characters, more than {limit}")
+        if i > start and size + len(line) > limit:
+            base.append((start, i))
+            start, size = i, 0
+        size += len(line)
+    if lines:
+        base.append((start, len(lines)))
+    out = []
+    for n, (a, b) in enumerate(base):
+        first = max(base[n - 1][0], a - overlap_lines) if n else a
+        out.append((first + 1, b, "".join(lines[first:b])))
+    return out
+
+
+_month = "|".join(m[:3] + f"(?:{m[3:]})?" if len(m) > 3 else m for m in MONTHS)
+#: Kinds of literals by falling priority.
+LITERALS = (
+    ("cve", re.compile(r"\bCVE-(\d{4})-(\d{4,7})\b", re.IGNORECASE)),
+    ("date", re.compile(rf"\b(?P<y>\d{{4}})[-/](?P<m>\d{{1,2}})[-/](?P<d>\d{{1,2}})\b|(?P<y2>\d{{4}})年(?P<m2>\d{{1,2}})月(?P<d2>\d{{1,2}})日|\b(?P<d3>\d{{1,2}}) (?P<m3>{_month}) (?P<y3>\d{{4}})\b|\b(?P<m4>{_month}) (?P<d4>\d{{1,2}}), (?P<y4>\d{{4}})\b", re.IGNORECASE)),
+    ("version", re.compile(r"(?<![\w.])v?\d+(?:\.\d+){1,3}(?:-?(?:alpha|beta|rc)\d*)?(?![\w%]|\.\d)", re.IGNORECASE)),
+    ("year", re.compile(r"(?<![\d.])(?:19|20)\d\d(?![\d.]*\d)")),
+    ("numeric_id", re.compile(r"(?<![\d.])\d{4,}(?![\d.]*\d)")),
+)
+
+
+def _canonical(kind: str, m: re.Match[str]) -> str | None:
+    if kind == "cve":
+        return f"CVE-{m.group(1)}-{m.group(2)}"
+    if kind == "date":
+        g = m.groupdict()
+        for s in ("", "2", "3", "4"):
+            if g[f"y{s}"]:
+                month = g[f"m{s}"]
+                number = int(month) if month.isdigit() else [x[:3] for x in MONTHS].index(month[:3].lower()) + 1
+                try:
+                    return date(int(g[f"y{s}"]), number, int(g[f"d{s}"])).isoformat()
+                except ValueError:
+                    return None
+    if kind == "version":
+        body = re.match(r"v?([\d.]+)(.*)", m.group().lower())
+        return ".".join(str(int(p)) for p in body.group(1).split(".")) + body.group(2)
+    return m.group()
+
+
+def literals(text: str | None) -> list[tuple[str, str, str, int, int]]:
+    """(kind, value, surface, start, end) of the typed literals of a text, in order; a kind of higher priority keeps others off its characters."""
+    out, taken = [], []
+    for kind, pattern in LITERALS:
+        for m in pattern.finditer(text or ""):
+            if any(m.start() < b and m.end() > a for a, b in taken):
+                continue
+            value = _canonical(kind, m)
+            if value is not None:
+                out.append((kind, value, m.group(), m.start(), m.end()))
+                taken.append(m.span())
+    return sorted(out, key=lambda r: (r[3], r[4], r[0]))
+
+
+def _projected(text: str, keep: Callable[[str], str]) -> tuple[str, list[int]]:
+    """Text with each character rewritten, and the place that each character of it came from."""
+    out, places = [], []
+    for i, c in enumerate(text):
+        for x in keep(c):
+            out.append(x)
+            places.append(i)
+    return "".join(out), places
+
+
+def _single_spaced(text: str) -> tuple[str, list[int]]:
+    out, places, gap = [], [], True
+    for i, c in enumerate(text):
+        if c.isspace():
+            if not gap:
+                out.append(" ")
+                places.append(i)
+            gap = True
+        else:
+            for x in c.casefold():
+                out.append(x)
+                places.append(i)
+            gap = False
+    if out and out[-1] == " ":
+        out.pop()
+        places.pop()
+    return "".join(out), places
+
+
+def locate_quote(source: str | None, quote: str | None) -> tuple[int, int, str] | None:
+    """(start, end, basis) of a quote in its source, in code points.
+
+    Tried in turn: the exact text; ignoring case; ignoring white space and case; letters and digits only, if
+    they stand there just once. None if it can't be found, or if either is empty.
+    """
+    source, quote = source or "", (quote or "").strip()
+    if not source or not quote:
+        return None
+    at = source.find(quote)
+    if at >= 0:
+        return at, at + len(quote), "exact"
+    for basis, view in (("casefold", lambda t: _projected(t, str.casefold)), ("spacing", _single_spaced), ("compact", lambda t: _projected(t, lambda c: c.casefold() if c.isalnum() else ""))):
+        body, places = view(source)
+        wanted = view(quote)[0]
+        at = body.find(wanted) if wanted else -1
+        if at >= 0 and (basis != "compact" or (len(wanted) >= 12 and body.find(wanted, at + 1) < 0)):
+            return places[at], places[at + len(wanted) - 1] + 1, basis
+    return None
+
+
+def mojibake_repaired(text: str | None) -> str | None:
+    """Text that was UTF-8 but read as a Western encoding, read again; unchanged if that makes it no better."""
+    if not text:
+        return text
+    flaws = lambda t: sum(0x80 <= ord(c) < 0xA0 or c in "ÃÂâ€œ™�" for c in t)
+    best = text
+    for name in ("cp1252", "latin-1"):
+        try:
+            other = text.encode(name).decode("utf-8")
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            continue
+        if flaws(other) < flaws(best):
+            best = other
+    return best
+
+
+def decoded(data: bytes | None, declared: str | None = None) -> str | None:
+    """Bytes of a page as text: of the declared, the page's own and the usual encodings the one with fewest flaws, the first of equals."""
+    if data is None:
+        return None
+    own = re.search(rb"charset=[\"']?([A-Za-z0-9_-]+)", data[:2048])
+    names = [declared, own.group(1).decode() if own else None, "utf-8", "gb18030", "latin-1"]
+    best: tuple[int, int, str] | None = None
+    for i, name in enumerate(dict.fromkeys(n for n in names if n)):
+        try:
+            text = data.decode(name, errors="replace")
+        except LookupError:
+            continue
+        flaws = text.count("�") * 4 + sum(unicodedata.category(c) in ("Cc", "Co", "Cn") and c not in "\t\r\n" for c in text)
+        if best is None or (flaws, i) < best[:2]:
+            best = (flaws, i, text)
+    return mojibake_repaired(best[2]) if best else None

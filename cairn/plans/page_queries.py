@@ -1 +1,62 @@
-"""Queries."""
+"""Queries that split, clean and search texts page by page; tested against small fixtures."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.operators import passages
+from cairn.plans.catalog import query
+from cairn.sources.tables import table
+
+
+@query()
+def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of every document."""
+    return passages.sentence_rows(table(spark, folder, "documents").select("doc_id", "text"), "text")
+
+
+@query()
+def chunk_semantic(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in chunks of paragraphs."""
+    return passages.chunk_rows(table(spark, folder, "documents").select("doc_id", "text"), "text", limit=200)
+
+
+@query()
+def chunk_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in chunks of lines, with two lines of overlap."""
+    return passages.line_chunk_rows(table(spark, folder, "documents").select("doc_id", "text"), "text", 2000, 2)
+
+
+@query()
+def hard_literals(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed literals of every page."""
+    return passages.literal_rows(table(spark, folder, "sources").select("source_id", "content").distinct(), "content")
+
+
+@query()
+def untrusted_literals(spark: SparkSession, folder: str) -> DataFrame:
+    """Literals in a task's goal that none of its pages has."""
+    goals = table(spark, folder, "training_tasks").select("task_id", F.col("content.goal").alias("goal"))
+    pages = table(spark, folder, "sources").where("task_id IS NOT NULL").select("task_id", "content").distinct()
+    return passages.untrusted_literals(passages.literal_rows(goals, "goal"), passages.literal_rows(pages, "content"), "task_id")
+
+
+@query()
+def quote_grounding(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the first hundred characters of each snippet stand in the page's excerpt."""
+    rows = table(spark, folder, "evidence_items").select("item_id", F.substring("snippet", 1, 100).alias("quote"), "page_excerpt").distinct()
+    return passages.quote_rows(rows, "page_excerpt", "quote")
+
+
+@query()
+def html_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of HTML as Markdown."""
+    rows = table(spark, folder, "page_blocks").where("block_content LIKE '<%'").select("scan_id", "page_index", "block_id", "block_content", F.lit("").alias("base")).distinct()
+    return passages.page_rows(rows, "block_content", "base").drop("links", "place")
+
+
+@query()
+def clean_page_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page excerpt without navigation lines, by rules."""
+    return passages.cleaned_rows(table(spark, folder, "evidence_items").select("item_id", "page_excerpt").distinct(), "page_excerpt").drop("place")
