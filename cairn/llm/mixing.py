@@ -94,5 +94,5 @@ def mix_sources(docs: DataFrame, key: str, source: str, size: str, targets: Data
     mix = chosen.select(F.col("key").alias(key), F.col("source").alias(source), F.col("size").alias(size), "copies")
     reached = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.count("*").alias("n_documents"), F.sum("copies").alias("n_copies"), F.max("copies").alias("max_copies"))
     shares = wanted.join(reached, "source", "left").na.fill(0, ["size", "n_documents", "n_copies", "max_copies"])
-    shares = shares.withColumn("share", F.coalesce(F.col("size") / F.sum("size").over(Window.partitionBy()), F.lit(0.0)))
+    shares = shares.withColumn("share", F.coalesce(F.try_divide("size", F.sum("size").over(Window.partitionBy())), F.lit(0.0)))
     return mix, shares.select(F.col("source").alias(source), "target_share", "share", "size", "n_documents", "n_copies", "max_copies")

@@ -6,7 +6,8 @@
 2. Phrases named in two records are the recurring ones; their number is aggregated map-side first, so a phrase
    of a third of all records costs no single task more than any other.
 3. A block whose whole text recurs is settled by its signature. What remains are the blocks at the ends of shared
-   spans and phrases in other surroundings. Their contexts are cut from the texts and split by a longer phrase,
+   spans and phrases in other surroundings. Their contexts, with those of two records for each settled block of
+   the same phrase, are cut from the texts and split by a longer phrase,
    so that every window holds the phrase it is filed under; those that recur are the confirmed passages.
 4. Confirmed passages are compiled, shard by shard, into Aho-Corasick automata. The contexts routed to a shard
    are streamed through its automaton, which locates the passages; the windows around the places found are
@@ -236,9 +237,14 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, phras
     kind = rows.schema["doc"].dataType.simpleString()
     named = rows.mapInArrow(_block_rows(length, phrase), f"doc {kind}, phrase bigint, signature bigint, lo int, hi int, at int")
     found = checkpointed(named.join(_recurring(named, "phrase").select("phrase"), "phrase", "left_semi"))
-    whole = _recurring(found, "phrase", "signature").select("phrase", "signature", F.lit(True).alias("whole"))
+    whole = found.groupBy("phrase", "signature").agg(F.min("doc").alias("one"), F.max("doc").alias("other")).where("one <> other")
     settled = found.join(whole, ["phrase", "signature"], "left_semi").select("doc", "lo", "hi")
-    open_ = checkpointed(found.join(whole, ["phrase", "signature"], "left_anti").select("doc", "lo", "hi", "at"))
+    unsettled = found.join(whole, ["phrase", "signature"], "left_anti")
+    # of settled blocks with an unsettled one's phrase two records stand for all, as one of them is another record
+    sharing = whole.join(unsettled.select("phrase"), "phrase", "left_semi")
+    standing = found.join(sharing, ["phrase", "signature"]).where("doc = one OR doc = other")
+    standing = standing.groupBy("phrase", "signature", "doc").agg(F.min(F.struct("lo", "hi", "at")).alias("b")).select("doc", "b.lo", "b.hi", "b.at")
+    open_ = checkpointed(unsettled.select("doc", "lo", "hi", "at").unionByName(standing))
     by_doc = open_.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi", "at")).alias("blocks"))
     if open_.count() <= BROADCAST_BLOCKS:
         by_doc = F.broadcast(by_doc)
