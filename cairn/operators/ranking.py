@@ -48,8 +48,10 @@ def term_counts(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataF
         raise ValueError(f"{size['n']} terms of {size['chars']} characters; at most {MAX_TERMS} of {MAX_TERM_CHARS} are searched at once")
     words = [r["term"] for r in terms.select(F.lower("term").alias("term")).where("term <> ''").distinct().collect()]
     kind = docs.schema[key].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
         automaton = ahocorasick.Automaton()
         for word in words:
             automaton.add_word(word, word)

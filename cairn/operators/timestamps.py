@@ -61,6 +61,9 @@ FORMATS: tuple[tuple[str, str, str], ...] = (
 )
 #: Values that more than one format can read.
 _SHARED = r"^(\d{1,2}[/-]\d{1,2}[/-]\d{4}\D.*|\d{1,2}[/-]\d{1,2}[/-]\d{4}|\d{12})$"
+#: Formats that read no other values than these, and all that may read one of them.
+_ONLY_SHARED = ("day_first", "month_first")
+_OFTEN_SHARED = (*_ONLY_SHARED, "digits", "milliseconds")
 _WIDE = "０１２３４５６７８９：－＋／．，Ｔ　 ﹣−"
 _NARROW = "0123456789:-+/.,T  --"
 
@@ -131,16 +134,18 @@ def _instant(fields: Column, wall_zone: Column, zones: list[str]) -> Column:
     def zoned(n: Column) -> Column:
         wall = F.timestamp_micros(n["local"])
         there = _let(F.to_utc_timestamp(wall, n["zone"]), lambda t: F.when(F.from_utc_timestamp(t, n["zone"]) == wall, F.unix_micros(t)))
-        return F.when(n["zone"].isin(zones), there)
+        # one literal is searched, as a list of all names would make the plan hundreds of times larger
+        known = ~F.contains(n["zone"], F.lit("|")) & (F.instr(F.lit("|" + "|".join(zones) + "|"), F.concat(F.lit("|"), n["zone"], F.lit("|"))) > 0)
+        return F.when(known, there)
 
     counted = F.when(kind == "seconds", _number(at(0)) * 1_000_000 + _fraction(at(6), 6))
     counted = counted.when(kind == "milliseconds", _number(at(0)) * 1000 + _fraction(at(6), 3)).when(kind == "microseconds", _number(at(0)))
     return F.when(kind.isin("seconds", "milliseconds", "microseconds"), counted).otherwise(_let(named, lambda n: F.when(n["plain"] != "", fixed(n)).otherwise(zoned(n))))
 
 
-def readings(text: Column, wall_zone: Column, zones: list[str]) -> Column:
+def readings(text: Column, wall_zone: Column, zones: list[str], formats: list[tuple[str, str, str]]) -> Column:
     """Array of (format, instant_us) of the formats by which ``text`` names an instant."""
-    fits = F.array_compact(F.array(*[F.when(text.rlike(pattern), F.concat(F.lit(name + "|"), F.regexp_replace(text, pattern, fill))) for name, pattern, fill in FORMATS]))
+    fits = F.array_compact(F.array(*[F.when(text.rlike(pattern), F.concat(F.lit(name + "|"), F.regexp_replace(text, pattern, fill))) for name, pattern, fill in formats]))
     read = F.transform(fits, lambda c: _let(F.split(c, r"\|", -1), lambda f: F.struct(F.element_at(f, 1).alias("format"), _instant(f, wall_zone, zones).alias("instant_us"))))
     return F.filter(read, lambda r: r["instant_us"].isNotNull())
 
@@ -168,6 +173,13 @@ def zone_names(df: DataFrame) -> list[str]:
     return sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
 
 
+def timestamp_values(df: DataFrame, key: str, fields: dict[str, Column], wall_zone: Column, source: Column) -> DataFrame:
+    """(record_id, source, wall_zone, field, value): a row for each value of ``fields``."""
+    values = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), value.alias("value")) for name, value in fields.items()])).alias("v")
+    flat = df.select(F.col(key).alias("record_id"), source.alias("source"), wall_zone.alias("wall_zone"), values)
+    return flat.select("record_id", "source", "wall_zone", "v.field", "v.value")
+
+
 def normalise_timestamps(df: DataFrame, key: str, fields: dict[str, Column], wall_zone: Column, source: Column, certainty: float = CERTAINTY) -> DataFrame:
     """Rows (record_id, field, value, status, format, posterior, instant_us), one for each value of ``fields``.
 
@@ -178,17 +190,25 @@ def normalise_timestamps(df: DataFrame, key: str, fields: dict[str, Column], wal
     ``wall_zone``, UTC if that is null; an unknown zone gives 'none'. A clock time that occurs twice is its first
     occurrence, a day alone its 00:00, a dotted date day first. Repeated rows are repeated.
     """
-    zones = zone_names(df)
-    flat = df.select(F.col(key).alias("record_id"), source.alias("source"), wall_zone.alias("wall_zone"), F.explode(F.array(*[F.struct(F.lit(name).alias("field"), value.alias("value")) for name, value in fields.items()])).alias("v"))
-    flat = flat.select("record_id", "source", "wall_zone", "v.field", "v.value").withColumn("text", F.when(F.length("value") <= 100, cleaned(F.col("value"))))
+    return normalise_values(timestamp_values(df, key, fields, wall_zone, source), certainty)
+
+
+def normalise_values(values: DataFrame, certainty: float = CERTAINTY) -> DataFrame:
+    """:func:`normalise_timestamps` of rows as :func:`timestamp_values` gives them."""
+    zones = zone_names(values)
+    flat = values.withColumn("text", F.when(F.length("value") <= 100, cleaned(F.col("value")))).withColumn("shared", F.coalesce(F.col("text").rlike(_SHARED), F.lit(False)))
+
+    def read(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        # the explode keeps the readings from being computed once for each use
+        found = readings(F.col("text"), F.col("wall_zone"), zones, [f for f in FORMATS if f[0] in names])
+        return rows.select("record_id", "source", "field", "value", F.explode(F.array(F.coalesce(found, F.array()))).alias("read"))
 
-    # the explode keeps the readings from being computed once for each use
-    read = flat.select("record_id", "source", "field", "value", F.explode(F.array(F.coalesce(readings(F.col("text"), F.col("wall_zone"), zones), F.array()))).alias("read"), F.coalesce(F.col("text").rlike(_SHARED), F.lit(False)).alias("shared"))
     first = F.try_element_at("read", F.lit(1))
     named = first.isNotNull()
-    single = read.where(~F.col("shared")).select("record_id", "field", "value", F.when(named, "resolved").otherwise("none").alias("status"), first["format"].alias("format"), F.when(named, F.lit(1.0)).alias("posterior"), first["instant_us"].alias("instant_us"))
+    single = read(flat.where(~F.col("shared")), tuple(f[0] for f in FORMATS if f[0] not in _ONLY_SHARED))
+    single = single.select("record_id", "field", "value", F.when(named, "resolved").otherwise("none").alias("status"), first["format"].alias("format"), F.when(named, F.lit(1.0)).alias("posterior"), first["instant_us"].alias("instant_us"))
 
-    several = read.where("shared")
+    several = read(flat.where("shared"), _OFTEN_SHARED)
     counts = several.where(F.size("read") > 0).groupBy("source", F.col("read.format").alias("formats")).agg(F.count("*").alias("n"))
     weights = F.pandas_udf(_weights, "map<string, double>")
     mixture = counts.groupBy("source").agg(F.collect_list("formats").alias("sets"), F.collect_list("n").alias("n")).select(F.col("source").alias("of"), weights("sets", "n").alias("weight"))

@@ -14,9 +14,9 @@ def instants(spark: SparkSession, folder: str) -> DataFrame:
     """Every timestamp of the pages and cases; a page's format habits are those of its host, a case's of its domain."""
     pages, cases = table(spark, folder, "sources"), table(spark, folder, "eval_cases")
     host = F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/?#]+)", 1)
-    of_pages = timestamps.normalise_timestamps(pages, "source_id", {c: F.col(c) for c in ("published_at", "retrieved_at")}, F.col("wall_zone"), host)
-    of_cases = timestamps.normalise_timestamps(cases, "question_id", {"source_checked_at": F.col("reference_metadata.source_checked_at")}, F.col("wall_zone"), F.col("domain"))
-    return of_pages.unionByName(of_cases)
+    of_pages = timestamps.timestamp_values(pages, "source_id", {c: F.col(c) for c in ("published_at", "retrieved_at")}, F.col("wall_zone"), host)
+    of_cases = timestamps.timestamp_values(cases, "question_id", {"source_checked_at": F.col("reference_metadata.source_checked_at")}, F.col("wall_zone"), F.col("domain"))
+    return timestamps.normalise_values(of_pages.unionByName(of_cases))
 
 
 @query()
