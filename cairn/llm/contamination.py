@@ -26,7 +26,7 @@ WINDOW = 13
 RUN = 5
 SHARE = 0.5
 #: Largest total size of the test items, in characters; more of them are to be given in several calls.
-MAX_TEST_CHARS = 50_000_000
+MAX_TEST_CHARS = 5_000_000
 #: Characters that are removed before normalisation.
 INVISIBLE = "​‌‍⁠﻿­"
 _invisible = re.compile(f"[{INVISIBLE}]")
@@ -220,7 +220,10 @@ def find_leaks(corpus: DataFrame, record_id: str, text: str, cases: DataFrame, c
     rows = cases.select(F.col(case_id).cast("string"), F.col(query)).where(F.col(case_id).isNotNull()).distinct().collect()
     given = sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0], r[1] or ""))
 
+    sent = corpus.sparkSession.sparkContext.broadcast(given)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = sent.value
         items = TestItems(given, run, window)
         names = np.array(items.case_ids, dtype=object)
         for batch, texts in ta.chunks(batches, "text"):
