@@ -45,6 +45,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.repairs_found(table(spark, folder, "page_blocks"))
 
 
+def p2_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The repaired text of every scan, paragraph by paragraph."""
+    return scans.paragraphs(table(spark, folder, "page_blocks"))
+
+
 def _split(spark: SparkSession, folder: str, **options: object) -> DataFrame:
     return splitting.split_texts(table(spark, folder, "material_texts"), "text_id", "text", "max_chars", "overlap_lines", **options)
 
@@ -104,7 +109,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_spans, p1_clean, p2_found, p4_found, p4_pieces, p5_found, p5_bodies, p6_ids, p7_mix, p7_shares, p8_found, p8_share)}
+    return {f.__name__: f for f in (p1_found, p1_spans, p1_clean, p2_found, p2_paragraphs, p4_found, p4_pieces, p5_found, p5_bodies, p6_ids, p7_mix, p7_shares, p8_found, p8_share)}
 
 
 #: Lengths after CR LF and lone CR became LF; runs are what lies between white space and stops.

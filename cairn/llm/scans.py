@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators import ordered
 from cairn.session import checkpointed
 
 #: Glyphs as read, and what they may stand for.
@@ -347,3 +348,97 @@ def repairs_found(blocks: DataFrame) -> DataFrame:
     for other in (broken, left, right, misread, numbers, goes_on):
         out = out.unionByName(other)
     return out.distinct()
+
+
+def _repaired_pages(parts: dict[str, DataFrame]) -> DataFrame:
+    """(scan_id, page_index, pieces): the body of each page as pieces of text, repaired, with an open end where a paragraph goes on."""
+    key = ["scan_id", "page_index", "block_id", "line_no"]
+    words = misread_words(parts).select(*key, F.struct(F.lit("word").alias("kind"), F.col("word").alias("a"), F.col("fixed").alias("b")).alias("fix"))
+    divided = divided_words(parts)
+    whole = F.when(F.col("broken"), F.col("joined")).otherwise(F.col("hyphened"))
+    ends = divided.select(*key, F.struct(F.when(F.col("broken"), "joined").otherwise("kept").alias("kind"), whole.alias("a"), F.col("word").alias("b")).alias("fix"))
+    rests = divided.select("scan_id", F.col("right_page").alias("page_index"), F.col("right_block").alias("block_id"), F.col("right_line").alias("line_no"), F.struct(F.lit("rest").alias("kind"), F.col("right").alias("a"), F.lit("").alias("b")).alias("fix"))
+    fixes = words.unionByName(ends).unionByName(rests).groupBy("scan_id", "page_index").agg(F.collect_set(F.struct("block_id", "line_no", "fix")).alias("fixes"))
+    body = parts["lines"].where("kind <> 'furniture'")
+    pages = body.groupBy("scan_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("block_id", "line_no", "kind", "closes", "text"))).alias("lines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = pa.struct([("block_id", pa.int32()), ("kind", pa.string()), ("open_end", pa.bool_()), ("text", pa.string())])
+        for batch in batches:
+            out = [page_pieces(lines, fixes or []) for lines, fixes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(piece))], ["scan_id", "page_index", "pieces"])
+
+    joined = pages.join(fixes, ["scan_id", "page_index"], "left")
+    return joined.mapInArrow(run, "scan_id string, page_index int, pieces array<struct<block_id: int, kind: string, open_end: boolean, text: string>>")
+
+
+def _cased(read: str, fixed: str) -> str:
+    return fixed.upper() if read.isupper() and len(read) > 1 else fixed[:1].upper() + fixed[1:] if read[:1].isupper() else fixed
+
+
+def page_pieces(lines: list[dict], fixes: list[dict]) -> list[dict]:
+    """The blocks of a page as running text: words corrected, divided ones joined, lines put together."""
+    by_line: dict[tuple[int, int], list[dict]] = {}
+    for f in fixes:
+        by_line.setdefault((f["block_id"], f["line_no"]), []).append(f["fix"])
+    pieces: list[dict] = []
+    for row in lines:
+        text, end = row["text"].strip(), None
+        todo = by_line.get((row["block_id"], row["line_no"]), [])
+        for f in todo:
+            if f["kind"] == "rest" and text.lower().startswith(f["a"]):
+                text = text[len(f["a"]) :].lstrip(" ")
+            elif f["kind"] in ("joined", "kept"):
+                end = f
+        if end:
+            stem = _divided.search(text)
+            head = text[: stem.start()] if stem else text
+            read = stem.group(1) if stem else ""
+            text = head + "\0"
+        known = {f["a"]: f["b"] for f in todo if f["kind"] == "word"}
+
+        def repaired(m: re.Match[str], known: dict[str, str] = known) -> str:
+            token = m.group()
+            number = number_repair(token)
+            core = token.strip("-'’.,:/")
+            fixed = known.get(core.lower())
+            return number if number else token.replace(core, _cased(core, fixed)) if fixed and core else token
+
+        if row["kind"] != "table":
+            text = _token.sub(repaired, text)
+        if end:
+            text = text.replace("\0", _cased(read, end["b"]))
+        last = pieces[-1] if pieces and pieces[-1]["block_id"] == row["block_id"] and pieces[-1]["kind"] == row["kind"] else None
+        if last is None:
+            pieces.append({"block_id": row["block_id"], "kind": row["kind"], "open_end": False, "text": text})
+            last = pieces[-1]
+        elif text:
+            last["text"] += _gap(last["text"], text) + text
+        last["open_end"] = bool(row["closes"])
+    return pieces
+
+
+def _gap(a: str, b: str) -> str:
+    """What goes between two lines: nothing before a stop or between ideographs, else a space."""
+    wide = "㐀" <= a[-1:] <= "鿿" or a[-1:] in "，。；：、"
+    return "" if not a or b[:1] in ".,;:!?。，；：" or wide and ("㐀" <= b[:1] <= "鿿" or b[:1] in "（《“") else " "
+
+
+def paragraphs(blocks: DataFrame) -> DataFrame:
+    """(scan_id, page_index, block_id, kind, text): the repaired text of each scan, a row for each paragraph, heading, caption and table.
+
+    page_index and block_id tell where it begins. A paragraph that goes on in a later block takes in what
+    follows there, over headings of pages, figures and page breaks. Furniture is left out. The pieces of a
+    paragraph are numbered by a running count over the scan's pages, bucket by bucket.
+    """
+    parts = analyse(blocks)
+    pieces = _repaired_pages(parts).select("scan_id", "page_index", F.posexplode("pieces").alias("at", "p")).select("scan_id", "page_index", "at", "p.*")
+    body = pieces.where("kind = 'para'")
+    # a piece begins a paragraph unless the piece before it in the scan has an open end
+    before = ordered.previous(body, ["scan_id"], ["page_index", "at"], "open_end", "held")
+    begun = before.withColumn("begins", (~F.coalesce("held", F.lit(False))).cast("int"))
+    numbered = ordered.running(begun, ["scan_id"], ["page_index", "at"], {"paragraph": ("sum", "begins")})
+    texts = numbered.groupBy("scan_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("page_index", "at", "block_id", "text"))).alias("l"))
+    glued = F.aggregate(F.transform("l", lambda x: x["text"]), F.lit(""), lambda a, b: F.when((a == "") | (b == ""), F.concat(a, b)).when(a.rlike("[㐀-鿿，。；：、]$") & b.rlike("^[㐀-鿿]"), F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b)))
+    whole = texts.select("scan_id", F.col("l")[0]["page_index"].alias("page_index"), F.col("l")[0]["block_id"].alias("block_id"), F.lit("para").alias("kind"), glued.alias("text"))
+    return whole.unionByName(pieces.where("kind <> 'para'").select("scan_id", "page_index", "block_id", "kind", "text"))

@@ -84,3 +84,16 @@ def test_empty(spark):
     assert found(spark, book()[:1]) == {("s0", 0, 0, 1, "furniture", "")}
     df = spark.createDataFrame([], "scan_id string, page_index int, block_id int, block_content string")
     assert S.repairs_found(df).count() == 0
+
+
+def test_paragraphs_are_put_together(spark):
+    rows = book() + [
+        ("t", 0, 0, "Bulletin    12"), ("t", 0, 1, "The Autboritative planner measures 2O22 windows delib-\nerately. The multi-\nlingual snapshot was docu\xad"), ("t", 0, 2, "Figure 3. Windows"),
+        ("t", 1, 0, "merited before the thresbold. Every window"), ("t", 3, 0, "report written."), ("t", 3, 1, "令牌预算与\n快照。"), ("t", 3, 2, "4.1 Planner"),
+    ]
+    df = spark.createDataFrame(rows, "scan_id string, page_index int, block_id int, block_content string")
+    got = {(r["page_index"], r["block_id"], r["kind"], r["text"]) for r in S.paragraphs(df).where("scan_id = 't'").collect()}
+    assert got == {
+        (0, 1, "para", "The Authoritative planner measures 2022 windows deliberately. The multilingual snapshot was documented before the threshold. Every window report written."),
+        (0, 2, "caption", "Figure 3. Windows"), (3, 1, "para", "令牌预算与快照。"), (3, 2, "head", "4.1 Planner"),
+    }
