@@ -25,6 +25,8 @@ STATES = 4
 #: Labelled pages of the training sample.
 TRAINING_PAGES = 1200
 EPOCHS = 14
+#: Lines of up to a thousand characters whose weights a worker keeps before it starts anew.
+HELD_LINES = 20_000
 BATCH = 30
 RATE = 0.15
 DECAY = 1e-4
@@ -33,12 +35,17 @@ _word = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]+(?:_\w+)?|\d+|[|·›»>/▾©
 _link = re.compile(r"\[([^\]]*)\]\([^)]*\)")
 _mark = re.compile(r"\s*(#{1,6} |[-*+›•»] ?|\d{1,3}[.)] |\||>)")
 _separator = re.compile(r" [|·–›»>/] ")
+_han = re.compile("[㐀-鿿]")
 _letters = re.compile(r"[^\W\d_㐀-鿿]+")
 _end = re.compile(r"[.!?。！？;；:：]['\"”’)]*$")
 _sentence = re.compile(r"[.!?。！？](?=\s|$|[㐀-鿿])")
 
 
-@lru_cache(maxsize=50_000)
+def han(text: str) -> int:
+    """Number of ideographs."""
+    return 0 if text.isascii() else len(_han.findall(text))
+
+
 def line_features(line: str) -> tuple[str, tuple[str, ...]]:
     """Kind of a line, for its neighbours, and the features of its own text."""
     links = _link.findall(line)
@@ -53,7 +60,7 @@ def line_features(line: str) -> tuple[str, tuple[str, ...]]:
         if mark != "row":
             text = plain[m.end() :].strip()
     words = _word.findall(text)
-    cjk = sum("㐀" <= c <= "鿿" for c in text)
+    cjk = han(text)
     weight = cjk // 2 + sum(not ("㐀" <= w[0] <= "鿿") and w[0].isalpha() for w in words)
     size = 0 if weight <= 1 else 1 if weight <= 2 else 2 if weight <= 4 else 3 if weight <= 8 else 4 if weight <= 13 else 5
     stops = min(3, len(_sentence.findall(text)))
@@ -61,8 +68,8 @@ def line_features(line: str) -> tuple[str, tuple[str, ...]]:
     separators = sum(text.count(s) for s in (" | ", " · ", " › ", " » ", " > ", " / "))
     first = text[:1]
     case = "upper" if first.isupper() else "lower" if first.islower() else "digit" if first.isdigit() else "cjk" if "㐀" <= first <= "鿿" else "other"
-    capitals = sum(w[0].isupper() for w in words if w[0].isalpha())
-    letters = sum(w[0].isalpha() for w in words)
+    named = [w[0] for w in words if w[0].isalpha()]
+    letters, capitals = len(named), sum(c.isupper() for c in named)
     share = "all" if letters and capitals == letters else "most" if letters and capitals * 2 >= letters else "few"
     out = [f"mark={mark}", f"size={size}", f"stops={stops}", f"end={ended}", f"sep={min(3, separators)}", f"case={case}", f"{mark}|{size}|{case}", f"{size}|{ended}|{stops}", f"sep={min(3, separators)}|{size}|{stops}", f"cap={share}|{size}"]
     if links:
@@ -70,7 +77,7 @@ def line_features(line: str) -> tuple[str, tuple[str, ...]]:
     if size >= 4 and ended and stops:
         out.append(f"prose|sep={min(2, separators)}")
     parts = [p for p in _separator.split(text) if p.strip()]
-    longest = max((len(_letters.findall(p)) + sum("㐀" <= c <= "鿿" for c in p) // 2 for p in parts), default=0)
+    longest = max((len(_letters.findall(p)) + han(p) // 2 for p in parts), default=0)
     widest = min(longest // 6, 4)
     out += [f"part={widest}", f"part={widest}|{min(len(parts), 4)}|{min(stops, 2)}"]
     low = [("9" if w.isdigit() else w.lower()) for w in words]
@@ -81,32 +88,39 @@ def line_features(line: str) -> tuple[str, tuple[str, ...]]:
     if short:
         out += [f"s={w}" for w in set(latin)]
         out.append("line=" + " ".join(low)[:60])
-    out += [f"b={a} {b}" for a, b in zip(latin, latin[1:], strict=False)][:60]
+    near = latin if short or len(latin) <= 14 else [*latin[:9], "", *latin[-5:]]
+    out += [f"b={a} {b}" for a, b in zip(near, near[1:], strict=False) if a and b]
     out += [f"first={' '.join(low[:2])[:30]}", f"last={' '.join(low[-2:])[-30:]}"]
-    for run in (w for w in words if "㐀" <= w[0] <= "鿿"):
-        out += [f"c={run[i : i + 2]}" for i in range(min(len(run) - 1, 80))]
+    runs = [w for w in words if "㐀" <= w[0] <= "鿿"]
+    for run in runs if short or len(runs) <= 6 else [*runs[:4], *runs[-2:]]:
+        ends = run if len(run) <= 30 else run[:16] + "\n" + run[-10:]
+        out += [f"c={ends[i : i + 2]}" for i in range(len(ends) - 1)]
         if short:
             out.append(f"r={run}")
     kind = mark if mark != "none" else "links" if links and not unlinked else "prose" if size >= 4 and stops else "parts" if separators else f"short{min(size, 2)}{case}"
     return kind, tuple(dict.fromkeys(out))
 
 
-def page_features(lines: list[str], title: str | None) -> tuple[list[int], list[list[str]]]:
-    """Numbers (from 0) of the lines that are not blank, and the features of each."""
-    at = [i for i, line in enumerate(lines) if line.strip()]
-    own = [line_features(lines[i].rstrip("\r")) for i in at]
-    kinds = ["start", *[k for k, _ in own], "end"]
-    named = (title or "").strip()
-    out = []
+def context_features(lines: list[str], at: list[int], kinds: list[str], title: str | None) -> list[list[str]]:
+    """Features of each line at ``at`` from its neighbours, its place and the page's title."""
+    around, named, out = ["start", *kinds, "end"], (title or "").strip(), []
     for j, i in enumerate(at):
-        before, kind, after = kinds[j : j + 3]
+        before, kind, after = around[j : j + 3]
         extra = [f"prev={before}", f"next={after}", f"{before}>{kind}", f"{kind}>{after}", f"pos={min(j, 3)}|{min(len(at) - 1 - j, 3)}", "bias"]
         if i and not lines[i - 1].strip():
             extra += ["gap", f"gap|{kind}"]
         if named and lines[i].strip(" #\r\t") == named:
             extra += ["title", f"title|{kind}", f"title|{after}"]
-        out.append([*own[j][1], *extra])
-    return at, out
+        out.append(extra)
+    return out
+
+
+def page_features(lines: list[str], title: str | None) -> tuple[list[int], list[list[str]]]:
+    """Numbers (from 0) of the lines that are not blank, and the features of each."""
+    at = [i for i, line in enumerate(lines) if line.strip()]
+    own = [line_features(lines[i].rstrip("\r")) for i in at]
+    extra = context_features(lines, at, [k for k, _ in own], title)
+    return at, [[*features, *more] for (_, features), more in zip(own, extra, strict=True)]
 
 
 class Field:
@@ -114,28 +128,57 @@ class Field:
 
     def __init__(self, number: dict[str, int], emit: np.ndarray, move: np.ndarray) -> None:
         self.number, self.emit, self.move = number, emit, move
+        self.held: dict[str, tuple[str, np.ndarray]] = {}
+        self.contexts: dict[tuple[str, ...], np.ndarray] = {}
+
+    def weight(self, features: tuple[str, ...] | list[str]) -> np.ndarray:
+        """Sum of the features' weights; those never met in training have none."""
+        return self.emit[[n for f in features if (n := self.number.get(f)) is not None]].sum(axis=0)
+
+    def scores(self, lines: list[str], title: str | None) -> tuple[list[int], np.ndarray]:
+        """Numbers (from 0) of the lines that are not blank, and the score of each state for each of them.
 
-    def scores(self, features: list[list[str]]) -> np.ndarray:
-        out = np.zeros((len(features), STATES))
-        for i, names in enumerate(features):
-            ids = [n for f in names if (n := self.number.get(f)) is not None]
-            out[i] = self.emit[ids].sum(axis=0)
-        return out
+        The weight of a line's own text is kept, as menus and footers come again on page after page.
+        """
+        at = [i for i, line in enumerate(lines) if line.strip()]
+        kinds, out = [], np.zeros((len(at), STATES))
+        for j, i in enumerate(at):
+            line = lines[i].rstrip("\r")
+            held = self.held.get(line)
+            if held is None:
+                kind, features = line_features(line)
+                held = (kind, self.weight(features))
+                if len(line) <= 1000:
+                    if len(self.held) >= HELD_LINES:
+                        self.held.clear()
+                    self.held[line] = held
+            kinds.append(held[0])
+            out[j] = held[1]
+        for j, extra in enumerate(context_features(lines, at, kinds, title)):
+            key = tuple(extra)
+            more = self.contexts.get(key)
+            if more is None:
+                more = self.contexts[key] = self.weight(extra)
+            out[j] += more
+        return at, out
 
-    def viterbi(self, scores: np.ndarray) -> np.ndarray:
+    def viterbi(self, scores: np.ndarray) -> list[int]:
         """The most likely states of one page."""
-        n = len(scores)
-        back = np.zeros((n, STATES), np.int64)
-        best = scores[0]
-        for i in range(1, n):
-            ways = best[:, None] + self.move
-            back[i] = ways.argmax(axis=0)
-            best = ways.max(axis=0) + scores[i]
-        path = np.zeros(n, np.int64)
-        path[-1] = best.argmax()
-        for i in range(n - 1, 0, -1):
-            path[i - 1] = back[i, path[i]]
-        return path
+        rows, move = scores.tolist(), self.move.T.tolist()
+        best, back = rows[0], []
+        for row in rows[1:]:
+            links, after = [], []
+            for state in range(STATES):
+                ways = [b + m for b, m in zip(best, move[state], strict=True)]
+                top = max(ways)
+                links.append(ways.index(top))
+                after.append(top + row[state])
+            back.append(links)
+            best = after
+        path = [best.index(max(best))]
+        for links in reversed(back):
+            path.append(links[path[-1]])
+        return path[::-1]
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -210,10 +253,10 @@ def trained(pages: int = TRAINING_PAGES) -> Field:
 def outside_lines(field: Field, text: str | None, title: str | None = None) -> list[int]:
     """Numbers, from 1, of the non-blank lines that hold nothing of the main body."""
     lines = (text or "").split("\n")
-    at, features = page_features(lines, title)
+    at, scores = field.scores(lines, title)
     if not at:
         return []
-    path = field.viterbi(field.scores(features))
+    path = field.viterbi(scores)
     return [i + 1 for i, s in zip(at, path, strict=True) if s != BODY]
 
 
