@@ -198,3 +198,14 @@ def clean_lines(text: str | None) -> dict:
         out.append(kept)
     body = "\n".join(out).strip()
     return {"text": body, "raw_chars": len(raw), "clean_chars": len(body), "content_lines": len(out), "navigation_lines": navigation, "picture_lines": pictures, "navigation_ratio": round(chars / max(1, len(raw)), 4)}
+
+
+_loc = re.compile(r"<loc>\s*(.*?)\s*</loc>", re.IGNORECASE | re.DOTALL)
+
+
+def sitemap_urls(xml: str | None, children: int = 2) -> tuple[list[str], list[str]]:
+    """Page URLs of a sitemap and the first ``children`` sitemaps it names, English ones first; each URL once, in order."""
+    found = list(dict.fromkeys(u.replace("&amp;", "&") for u in _loc.findall(xml or "") if u))
+    nested = [u for u in found if re.search(r"\.xml(\.gz)?($|\?)", u)]
+    nested.sort(key=lambda u: not re.search(r"(^|[/_.-])en([/_.-]|$)", u))
+    return [u for u in found if u not in nested], nested[:children]

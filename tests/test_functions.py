@@ -1,6 +1,6 @@
 from urllib.parse import parse_qs, urldefrag, urlencode, urlparse
 
-from cairn.functions import html, passages, similarity, text, urls
+from cairn.functions import html, jsontext, passages, similarity, text, urls
 from cairn.operators import passages as rows
 from cairn.operators import ranking, selection
 from pyspark.sql import functions as F
@@ -127,3 +127,13 @@ def test_retrieval_metrics(spark):
     relevant = spark.createDataFrame([("q", "b"), ("q", "z"), ("s", "k")], "q string, i string")
     got = {r["q"]: tuple(r)[1:] for r in ranking.retrieval_metrics(ranked, relevant, "q", "i", "rank", 2).collect()}
     assert got["q"] == (0.5, 0.5, 0.5, 0.3869) and got["r"] == (None, 0.0, None, None) and got["s"] == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_sitemaps_and_json():
+    xml = "<loc>https://e.com/a</loc><loc>\nhttps://e.com/de.xml </loc><loc>https://e.com/en/map.xml</loc><loc>https://e.com/a</loc><loc>https://e.com/x.xml.gz</loc>"
+    assert html.sitemap_urls(xml) == (["https://e.com/a"], ["https://e.com/en/map.xml", "https://e.com/de.xml"]) and html.sitemap_urls(None) == ([], [])
+    assert jsontext.object_of('<think>x</think>```json\n[{"b": 1, "a": {"c": true, "d": null, "e": "t"}}]\n```') == {"b": 1, "a": {"c": True, "d": None, "e": "t"}}
+    for bad in (None, "", "Here: {}", "[1]", "[{}, {}]", "{"):
+        assert jsontext.object_of(bad) is None
+    assert jsontext.canonical({"b": 1, "a": [2]}) == '{"a":[2],"b":1}' and len(jsontext.digest({"a": 1})) == 20
+    assert jsontext.flattened({"a": {"c": True, "d": None}, "b": 2}) == {"a.c": 1.0, "b": 2.0}
