@@ -45,11 +45,11 @@ _DAYNAME = r"(?:\p{L}{2,10}\.?,? )?"
 
 #: Format, pattern, and how its groups fill year|month|day|hour|minute|second|fraction|half|zone.
 FORMATS: tuple[tuple[str, str, str], ...] = (
-    ("iso", rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})(?:[Tt ]{_TIME})? ?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8"),
+    ("iso", rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})(?:[Tt ]{_TIME} ?{_HALF})? ?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7|$8|$9"),
     ("iso_basic", rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:[Tt ](\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d+))?)?{_ZONE})?$", "$1|$2|$3|$4|$5|$6|$7||$8"),
     ("digits", r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})?$", "$1|$2|$3|$4|$5|$6|||"),
-    ("year_first", rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}})(?:[Tt ]{_TIME} ?{_ZONE})?$", "$1|$2|$3|$4|$5|$6|$7||$8"),
-    ("dotted", rf"^{_DAYNAME}(\d{{1,2}})\. ?(\d{{1,2}})\. ?(\d{{4}})(?:,? (?:um )?{_TIME}(?: Uhr)? ?{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7||$8"),
+    ("year_first", rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}})(?:[Tt ]{_TIME} ?{_HALF} ?{_ZONE})?$", "$1|$2|$3|$4|$5|$6|$7|$8|$9"),
+    ("dotted", rf"^{_DAYNAME}(\d{{1,2}})\. ?(\d{{1,2}})\. ?(\d{{4}})(?:,? (?:um )?{_TIME}(?: Uhr)? ?{_HALF} ?{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
     ("day_first", rf"^(\d{{1,2}})([/-])(\d{{1,2}})\2(\d{{4}})(?:,? {_TIME} ?{_HALF} ?{_ZONE})?$", "$4|$3|$1|$5|$6|$7|$8|$9|$10"),
     ("month_first", rf"^(\d{{1,2}})([/-])(\d{{1,2}})\2(\d{{4}})(?:,? {_TIME} ?{_HALF} ?{_ZONE})?$", "$4|$1|$3|$5|$6|$7|$8|$9|$10"),
     ("day_month_name", rf"^{_DAYNAME}(\d{{1,2}})(?:\.|st|nd|rd|th)? (\p{{L}}{{3,9}})\.?,? (\d{{4}})(?:,? (?:at |um )?{_TIME}(?: Uhr)? ?{_HALF} ?{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),

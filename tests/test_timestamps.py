@@ -47,6 +47,14 @@ NAMED = [
     ("２０２４－０８－２４Ｔ１１：０１：５０＋００：００", None, micros(2024, 8, 24, 11, 1, 50)),
     ("2025-10-26 02:30:00", "Europe/Berlin", micros(2025, 10, 26, 0, 30)),  # twice: the first
     ("2024-02-29", None, micros(2024, 2, 29)),
+    ("2025-05-16 03:32 PM EDT", None, micros(2025, 5, 16, 19, 32)),
+    ("2025/05/16 12:05:09 am", "Asia/Tokyo", micros(2025, 5, 15, 15, 5, 9)),
+    ("16.05.2025, 3:32 p.m. +02:00", None, micros(2025, 5, 16, 13, 32)),
+    ("2025-05-16+02:00", None, micros(2025, 5, 15, 22)),
+    ("20250516T1530Z", None, micros(2025, 5, 16, 15, 30)),
+    ("20250516153001", "Asia/Tokyo", micros(2025, 5, 16, 6, 30, 1)),
+    ("Friday, May 16th, 2025 at 3:32 PM", None, micros(2025, 5, 16, 15, 32)),
+    ("2025年5月16日 星期五 15:32:01 +0800", None, micros(2025, 5, 16, 7, 32, 1)),
 ]
 NONE = [
     None, "", "  ", "2025-03-30 02:30:00", "2024-17-02", "2025-02-29", "2024-05-28T25:21:00Z", "2025-04-08T10:91:00Z", "2026-06", "2025年10月", "2026", "Q4 2024", "yesterday", "26 hours ago", "vor 14 Tagen", "刚刚",
