@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text, urls
 from cairn.operators import ordered, passages, ranking
+from cairn.operators.validation import WARNING, Rules
 from cairn.plans.catalog import query
 from cairn.plans.url_queries import IDENTITY_SQL, PARTS_SQL
 from cairn.sources.tables import table
@@ -179,3 +180,55 @@ def term_rarity(spark: SparkSession, folder: str) -> DataFrame:
     terms = table(spark, folder, "evidence_items").select("item_id", F.explode(F.array_distinct(text.words(body))).alias("term")).distinct()
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     return terms.join(df, "term").groupBy("item_id").agg(F.round(F.sum(1.0 / F.col("df")), 6).alias("rarity"))
+
+
+ISSUES_SQL = """WITH s AS (SELECT DISTINCT source_id, task_id, url, title, content, retrieved_at FROM sources),
+i AS (SELECT source_id, 'no_task' AS code, 'warning' AS severity FROM s WHERE task_id IS NULL UNION SELECT source_id, 'unknown_task', 'error' FROM s WHERE task_id IS NOT NULL AND task_id NOT IN (SELECT task_id FROM training_tasks WHERE task_id IS NOT NULL)
+UNION SELECT source_id, 'no_title', 'warning' FROM s WHERE trim(coalesce(title, '')) = '' UNION SELECT source_id, 'no_content', 'error' FROM s WHERE trim(coalesce(content, '')) = '' UNION SELECT source_id, 'no_retrieval_time', 'error' FROM s WHERE trim(coalesce(retrieved_at, '')) = ''
+UNION SELECT source_id, 'repeated_id', 'error' FROM s GROUP BY source_id HAVING count(*) > 1)"""
+
+
+def _source_rules(spark: SparkSession, folder: str) -> tuple[Rules, DataFrame]:
+    empty = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    rules = Rules("source_id").row("no_task", F.col("task_id").isNull(), WARNING).refers("unknown_task", "task_id", table(spark, folder, "training_tasks"), "task_id")
+    rules.row("no_title", empty("title"), WARNING).row("no_content", empty("content")).row("no_retrieval_time", empty("retrieved_at")).unique("repeated_id", ["source_id"])
+    return rules, table(spark, folder, "sources").select("source_id", "task_id", "url", "title", "content", "retrieved_at").distinct()
+
+
+@query(ISSUES_SQL + " SELECT * FROM i")
+def source_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """What the rules object to in the pages."""
+    rules, rows = _source_rules(spark, folder)
+    return rules.issues(rows)
+
+
+@query(ISSUES_SQL + " SELECT DISTINCT source_id FROM s WHERE source_id NOT IN (SELECT source_id FROM i WHERE severity = 'error')")
+def accepted_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages without an error."""
+    rules, rows = _source_rules(spark, folder)
+    return rules.accepted(rows).select("source_id")
+
+
+@query(
+    """WITH e AS (SELECT user_id, count(*) AS n, count(DISTINCT event_id) AS n_ids, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id),
+b AS (SELECT user_id, count(*) FILTER (event_id <= before) AS breaks FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id)
+SELECT user_id, n, n = n_ids AS unique_ids, breaks = 0 AS rising, last <> 'error' AS ended_well, n = n_ids AND breaks = 0 AND last <> 'error' AS valid FROM e JOIN b USING (user_id)"""
+)
+def trace_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each user's log has unique, rising numbers and a good end."""
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folded = events.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"), F.max_by("event_type", "event_id").alias("last"))
+    seen = ordered.previous(events.select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], "event_id", "before")
+    breaks = seen.groupBy("user_id").agg(F.count_if(F.col("event_id") <= F.col("before")).alias("breaks"))
+    unique, rising, well = F.col("n") == F.col("n_ids"), F.col("breaks") == 0, F.col("last") != "error"
+    return folded.join(breaks, "user_id").select("user_id", "n", unique.alias("unique_ids"), rising.alias("rising"), well.alias("ended_well"), (unique & rising & well).alias("valid"))
+
+
+@query(
+    """WITH d AS (SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY GROUPING SETS ((source, lang), (source), ()))
+SELECT source, lang, n, chars FROM d"""
+)
+def corpus_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and characters by source and language, by source, and in all."""
+    rows = table(spark, folder, "documents")
+    return rows.groupingSets([[F.col("source"), F.col("lang")], [F.col("source")], []], "source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
