@@ -25,7 +25,7 @@ STATES = 4
 #: Labelled pages of the training sample.
 TRAINING_PAGES = 1200
 EPOCHS = 14
-#: Lines of up to a thousand characters whose weights a worker keeps before it starts anew.
+#: Lines of up to a thousand characters, and contexts, whose weights a worker keeps before it starts anew.
 HELD_LINES = 20_000
 BATCH = 30
 RATE = 0.15
@@ -158,6 +158,8 @@ class Field:
             key = tuple(extra)
             more = self.contexts.get(key)
             if more is None:
+                if len(self.contexts) >= HELD_LINES:
+                    self.contexts.clear()
                 more = self.contexts[key] = self.weight(extra)
             out[j] += more
         return at, out
