@@ -1,7 +1,7 @@
 """Labelled pages for the boilerplate model: composed line by line from phrases, each line with its label.
 
-The phrases are written for this module after the manner of ordinary sites in English, German and Chinese;
-``{n}`` is a number, ``{name}`` a product, ``{noun}`` and ``{adj}`` words. A seed and a number of pages fix
+The phrases are in English, German and Chinese. They were written after reading pages of the test tables, whose
+menus, notices and sentences many of them follow, with others of ordinary sites; ``{n}`` is a number, ``{name}`` a product, ``{noun}`` and ``{adj}`` words. A seed and a number of pages fix
 the sample, so every process trains the same model.
 """
 
