@@ -10,7 +10,7 @@ from cairn.plans.catalog import QUERIES, SQL, Query
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Ranks the corpus for every test question by substring BM25."""
-    return QUERIES["bm25_topk"](spark, folder)
+    return QUERIES["bm25_all_topk"](spark, folder)
 
 
 def queries() -> dict[str, Query]:

@@ -13,6 +13,12 @@ from cairn.plans.url_queries import IDENTITY_SQL, PARTS_SQL
 from cairn.sources.tables import table
 
 
+def _best_documents(spark: SparkSession, folder: str, prompts: DataFrame) -> DataFrame:
+    terms = prompts.select("case_id", F.explode(text.query_terms(F.col("query"))).alias("term")).distinct()
+    counts = ranking.term_counts(table(spark, folder, "documents"), "doc_id", "text", terms.select("term").distinct())
+    return ranking.bm25_topk(terms, "case_id", "term", counts, "doc_id")
+
+
 @query(
     f"""WITH q AS (SELECT DISTINCT case_id, unnest({TERMS_SQL}) AS term FROM eval_prompts WHERE category IN ('policy_change', 'api_default')),
 d AS (SELECT doc_id, lower(text) AS t, greatest(len(regexp_extract_all(text, '[^\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]+')), 1) AS n FROM documents WHERE text IS NOT NULL),
@@ -25,11 +31,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(raw, 9) D
 SELECT case_id, doc_id, place, round(raw / peak, 6) AS score FROM r WHERE place <= 10"""
 )
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten best documents for each test query of two categories, over the whole corpus."""
-    prompts = table(spark, folder, "eval_prompts").where(F.col("category").isin("policy_change", "api_default"))
-    terms = prompts.select("case_id", F.explode(text.query_terms(F.col("query"))).alias("term")).distinct()
-    counts = ranking.term_counts(table(spark, folder, "documents"), "doc_id", "text", terms.select("term").distinct())
-    return ranking.bm25_topk(terms, "case_id", "term", counts, "doc_id")
+    """The ten best documents for each test query of two categories, over the whole corpus; :func:`bm25_all_topk` has all categories."""
+    return _best_documents(spark, folder, table(spark, folder, "eval_prompts").where(F.col("category").isin("policy_change", "api_default")))
+
+
+@query()
+def bm25_all_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every test query, over the whole corpus."""
+    return _best_documents(spark, folder, table(spark, folder, "eval_prompts"))
 
 
 @query(
