@@ -44,8 +44,8 @@ def untrusted_literals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def quote_grounding(spark: SparkSession, folder: str) -> DataFrame:
-    """Where the first hundred characters of each snippet stand in the page's excerpt."""
-    rows = table(spark, folder, "evidence_items").select("item_id", F.substring("snippet", 1, 100).alias("quote"), "page_excerpt").distinct()
+    """Where each snippet stands in the page's excerpt."""
+    rows = table(spark, folder, "evidence_items").select("item_id", F.col("snippet").alias("quote"), "page_excerpt").distinct()
     return passages.quote_rows(rows, "page_excerpt", "quote")
 
 
