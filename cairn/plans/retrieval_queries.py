@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import similarity, text, urls
-from cairn.operators import overlap, ranking
+from cairn.operators import ordered, overlap, ranking
 from cairn.plans.catalog import query
 from cairn.plans.text_queries import TERMS_SQL
 from cairn.plans.url_queries import IDENTITY_SQL, PARTS_SQL
@@ -54,7 +54,7 @@ def rank_fusion(spark: SparkSession, folder: str) -> DataFrame:
     """The page rankings of each task, one for each authority, fused by URL identity."""
     rows = table(spark, folder, "sources").select("source_id", "task_id", "authority", "url").distinct().where("task_id IS NOT NULL AND authority IS NOT NULL")
     rows = rows.withColumn("identity", urls.url_identity(F.col("url"))).where("identity <> ''")
-    streams = ranking.quota_topk(rows, ["task_id", "authority"], [F.col("source_id")], 48)
+    streams = ordered.numbered(rows, ["task_id", "authority"], ["source_id", "url"], "place").withColumn("place", F.col("place").cast("int"))
     return ranking.fuse_ranks(streams, "task_id", "identity", "authority", "place")
 
 

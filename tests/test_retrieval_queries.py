@@ -37,3 +37,22 @@ def test_flagship_ranks_for_every_category(spark, tmp_path):
     got = entry.registry.flagship(spark, str(tmp_path)).collect()
     assert {(r["case_id"], r["doc_id"], r["place"], r["score"]) for r in got} == brute_bm25([(c, q) for c, _, q in queries], docs)
     assert {r["case_id"] for r in got} == {f"c{n}" for n in range(8)}
+
+
+def test_fusion_counts_every_rank(spark, tmp_path):
+    pages = [(i, "t1", "official", f"https://e.example/p{(i * 7) % 110}") for i in range(130)]
+    pages += [(1000 + i, "t1", "community", f"https://e.example/p{(i * 11) % 110}") for i in range(70)]
+    pages += [(2000 + i, "t2", "official", f"https://e.example/p{i}") for i in range(3)] + [(3000, None, "official", "https://e.example/x"), (3001, "t2", None, "https://e.example/x")]
+    spark.createDataFrame(pages, "source_id bigint, task_id string, authority string, url string").write.parquet(f"{tmp_path}/sources.parquet")
+    best, seen = {}, {}
+    for source, task, authority, url in sorted(pages, key=lambda p: p[0]):
+        if task and authority:
+            place = seen[task, authority] = seen.get((task, authority), 0) + 1
+            best.setdefault((task, url), {}).setdefault(authority, place)
+    expected = set()
+    for task in ("t1", "t2"):
+        scored = sorted(((round(sum(1 / (60 + p) for p in ranks.values()), 9), len(ranks), -min(ranks.values()), url) for (t, url), ranks in best.items() if t == task), reverse=True)
+        expected |= {(task, url, score, n, -least, i) for i, (score, n, least, url) in enumerate(scored[:48], 1)}
+    assert any(max(best["t1", url].values()) > 48 and n == 2 for task, url, _, n, _, _ in expected if task == "t1")
+    got = entry.queries()["rank_fusion"](spark, str(tmp_path)).collect()
+    assert {(r["task_id"], r["identity"], r["score"], r["n_streams"], r["best_rank"], r["fused_rank"]) for r in got} == expected
