@@ -69,6 +69,7 @@ class Boundaries:
         moved = word[np.minimum(np.searchsorted(word, sentence), max(0, len(word) - 1))] if len(word) else sentence
         sentence = np.unique(np.where(blank[sentence] & (moved > sentence), moved, sentence)) if len(sentence) else sentence
         self.by_kind = (paragraph, self.lines[1:], sentence, word)
+        self.natural = np.unique(np.concatenate([*self.by_kind, [n]]))
         breaks = np.concatenate([[-1], np.flatnonzero(blank | stop), [n]])
         self.longest_run = int(np.max(np.diff(breaks))) - 1
         self.longest_line = int(np.max(ends - self.lines))
@@ -97,10 +98,12 @@ def pieces(b: Boundaries, sums: np.ndarray, limit: int, overlap: int) -> Iterato
                     best = cut = int(places[i])
                     kind = name
         yield start, cut, lines, kind
-        # step back by whole lines, fewer if they would fill more than half of the next piece
+        # step back by whole lines, fewer only if the next piece could not begin later or reach a boundary past the cut within the limit
+        after = int(b.natural[np.searchsorted(b.natural, cut, side="right")])
+        after = after if sums[after] - sums[cut] <= limit else cut + 1
         line = int(np.searchsorted(b.lines, cut, side="left"))
         first = max(0, line - overlap)
-        while first < line and (b.lines[first] <= start or sums[cut] - sums[b.lines[first]] > limit // 2):
+        while first < line and (b.lines[first] <= start or sums[after] - sums[b.lines[first]] > limit):
             first += 1
         lines = line - first
         start, done = (int(b.lines[first]) if lines else cut), cut
@@ -125,10 +128,10 @@ def split_texts(df: DataFrame, key: str, text: str, limit: str, overlap: str, un
     the whole text). A text is oversized if it is larger than ``limit``; long_line and long_run tell that one
     of its lines, or a run without white space and stops, has more characters than ``limit``. Pieces cover
     the text, none is larger than the limit (with tokens: unless one character is), and neighbours share
-    ``overlap`` whole lines, fewer where these would fill more than half a piece. A text within its limit is
-    one piece. Null texts have no pieces and no kind, an empty text has none either. A null limit or one below
-    1 limits nothing; a null or negative overlap is 0. Repeated rows are repeated in the result. Only the named
-    columns are read.
+    ``overlap`` whole lines, fewer only where the next piece would not begin after the last one, or could not reach
+    the next boundary within the limit. A text within its limit is one piece. Null texts have no pieces and no
+    kind, an empty text has none either. A null limit or one below 1 limits nothing; a null or negative overlap
+    is 0. Repeated rows are repeated in the result. Only the named columns are read.
     """
     kind = df.schema[key].dataType.simpleString()
 

@@ -69,3 +69,14 @@ def test_limits_in_tokens(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "text_id bigint, text string, max_chars int, overlap_lines int")
     assert P.split_texts(df, "text_id", "text", "max_chars", "overlap_lines").count() == 0
+
+
+def test_overlap_of_more_than_half_a_piece(spark):
+    lines = [f"line {i:02d} has thirty characters\n" for i in range(12)]
+    text = "".join(lines)
+    df = spark.createDataFrame([(1, text, 100, 2), (2, text, 100, 9), (3, "a" * 59 + "\n" + "b" * 30 + "\n" + "c" * 60, 100, 1)], "text_id bigint, text string, max_chars int, overlap_lines int")
+    by = {x["text_id"]: x["pieces"] for x in P.split_texts(df, "text_id", "text", "max_chars", "overlap_lines").collect()}
+    assert all(len(p["text"]) <= 100 for x in by.values() for p in x)
+    assert [p["overlap_lines"] for p in by[1]] == [0] + [2] * (len(by[1]) - 1) and len(by[1]) > 2
+    assert all(p["overlap_lines"] >= 2 for p in by[2][1:])
+    assert not {"hard"} & {p["cut"] for x in by.values() for p in x}
