@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +26,14 @@ def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) ->
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder, so later stages neither recompute it nor depend on one executor.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests, a folder on this machine is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset and all runs
+    in one process, as in tests, a folder on this machine is used; elsewhere executors could not share it, and an error says so.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
     return df.checkpoint(eager=True)
