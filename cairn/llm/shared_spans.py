@@ -3,23 +3,23 @@
 1. Every window of ``length`` characters names one phrase: the k-gram of least hash in it. Consecutive windows
    with the same phrase form a block, about one for every (length - k) / 2 characters. The choice depends on
    the window's characters only, so equal windows name the same phrase wherever they stand.
-2. Phrases named in two records are the recurring ones; their number is aggregated map-side first, so a phrase
-   of a third of all records costs no single task more than any other.
-3. A block whose whole text recurs is settled by its signature. What remains are the blocks at the ends of shared
-   spans and phrases in other surroundings. Their contexts, with those of two records for each settled block of
-   the same phrase, are cut from the texts and split by a longer phrase,
-   so that every window holds the phrase it is filed under; those that recur are the confirmed passages.
-4. Confirmed passages are compiled, shard by shard, into Aho-Corasick automata. The contexts routed to a shard
-   are streamed through its automaton, which locates the passages; the windows around the places found are
-   compared exactly, all at once. Passages in very many contexts take another exact way, by aggregation.
-5. Windows shared with another record are merged into longest stretches.
-
-No pairs of records are formed at any point, and nothing but a bounded list of blocks is ever broadcast.
+2. Blocks whose phrase stands in two records are cut from the texts as contexts, split by a longer slice, the
+   key, that all windows of a context hold at one place.
+3. Recurring passages are confirmed. A block whose whole text recurs is one. Of the other blocks, and of two
+   records for each recurring block with the same phrase, the windows are counted by hash; windows of one
+   context that recur in the same places make one passage. One occurrence of each passage is kept as its text.
+4. The passages are compiled, shard by shard, into Aho-Corasick automata, and the contexts of every document with
+   a key of the shard are streamed through them. Every span comes from their hits; a passage that is hit in one
+   record only (its hash was another's) is dropped, so the result is exact.
+5. Hits that overlap or touch are merged into longest stretches.
+
+A key that holds a large part of all contexts is spread over several shards, each with the key's passages. No
+pairs of records are formed at any point, and nothing is broadcast but a bounded list of blocks and of at most 10,000 hot keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -29,18 +29,19 @@ from pyspark.sql import functions as F
 
 from cairn.llm import textarrays as ta
 from cairn.llm.tokenizer import spread
+from cairn.operators import skew
 from cairn.session import checkpointed
 
 LENGTH = 320
 PHRASE = 64
 #: Window starts looked at in one go within one text; longer texts are taken in overlapping stretches.
 STRETCH = 4_000_000
-#: Blocks that may be broadcast to the texts (some 40 bytes each); beyond it, texts and blocks are joined by shuffle.
+#: Blocks that may be broadcast to the texts (some 50 bytes each); beyond it, texts and blocks are joined by shuffle.
 BROADCAST_BLOCKS = 200_000
-#: Contexts of one passage that a shard compares in memory; a passage of more is settled by aggregation.
-HOT_CONTEXTS = 20_000
-#: Contexts of one automaton, beyond which the next passage starts a new one.
-SHARD_CONTEXTS = 4_000
+#: Most keys that can be spread; there are fewer, as each has more than one in so many of all contexts.
+MOST_SPREAD = 10_000
+#: Contexts of one shard, about: what one task holds in memory at a time.
+SHARD_CONTEXTS = 2_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -107,122 +108,106 @@ def _block_rows(length: int, phrase: int):
 
 
 def _contexts(length: int, phrase: int):
-    """Contexts of a text's unsettled blocks, cut so that all windows of one hold its passage."""
+    """Contexts of a text's blocks, cut so that all windows of one hold its key at one place, the anchor."""
     half, wide = (length - phrase) // 2, phrase + (length - phrase) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 text, found = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                row, passage, first, piece = [], [], [], []
+                first, anchor, piece, marks = [], [], [], []
                 for b in found:
-                    # windows that start by at - half hold the left passage, the others the right one
+                    # windows that start by at - half hold the left key, the others the right one
                     for lo, hi, begin in ((b["lo"], min(b["hi"], b["at"] - half), b["at"] - half), (max(b["lo"], b["at"] - half + 1), b["hi"], b["at"])):
                         if lo <= hi:
-                            row.append(i)
                             first.append(lo)
-                            passage.append(begin - lo)
+                            anchor.append(begin)
                             piece.append(text[lo : hi + length])
-                if not row:
+                            marks.append((b["open"], b["whole"]))
+                if not first:
                     continue
                 points, bounds = ta.flat(piece)
-                begin = bounds[:-1] + np.array(passage)
+                begin = bounds[:-1] + np.array(anchor) - np.array(first)
                 key = ta.SliceHasher(points, 1).of(begin, begin + wide)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), batch.column(0).take(pa.array(row, pa.int64())), pa.array(first, pa.int32()), pa.array(passage, pa.int32()), pa.array(piece, pa.string())],
-                    ["passage", "doc", "first", "begin", "piece"],
+                    [
+                        pa.array(key.view(np.int64)),
+                        batch.column(0).take(pa.array([i] * len(first), pa.int64())),
+                        pa.array(first, pa.int32()),
+                        pa.array(anchor, pa.int32()),
+                        pa.array([m[0] for m in marks], pa.bool_()),
+                        pa.array([m[1] for m in marks], pa.bool_()),
+                        pa.array(piece, pa.string()),
+                    ],
+                    ["key", "doc", "first", "anchor", "open", "whole", "piece"],
                 )
 
     return run
 
 
-def shared_windows(pieces: list[str], docs: list, length: int) -> list[tuple[int, int, int]]:
-    """Of pieces of several records: (piece, first, last) for each run of window starts whose text another record also has."""
-    points, bounds = ta.flat(pieces)
-    lengths = np.diff(bounds) - length + 1
-    at = spread(bounds[:-1], lengths)
-    key = ta.SliceHasher(points).of(at, at + length)
-    piece = np.repeat(np.arange(len(pieces)), lengths)
-    codes: dict = {}
-    doc = np.array([codes.setdefault(d, len(codes)) for d in docs])[piece]
-    order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
-    fresh = np.append(True, key[1:] != key[:-1])
-    group = np.flatnonzero(fresh)
-    several = np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group)
-    shared = np.zeros(len(at), bool)
-    shared[order] = several[np.cumsum(fresh) - 1]
-    hit = np.flatnonzero(shared)
-    if not len(hit):
-        return []
-    cut = np.append(True, (hit[1:] != hit[:-1] + 1) | (piece[hit[1:]] != piece[hit[:-1]]))
-    begin = np.flatnonzero(cut)
-    end = np.append(begin[1:], len(hit)) - 1
-    where = at - bounds[:-1][piece]
-    return list(zip(piece[hit[begin]].tolist(), where[hit[begin]].tolist(), where[hit[end]].tolist(), strict=True))
-
-
-def _shards(rows: Iterable[dict]) -> Iterator[list[dict]]:
-    """Rows sorted by passage, in lists that end between passages."""
-    shard: list[dict] = []
-    for row in rows:
-        if len(shard) >= SHARD_CONTEXTS and row["passage"] != shard[-1]["passage"]:
-            yield shard
-            shard = []
-        shard.append(row)
-    if shard:
-        yield shard
-
-
-def _automata(length: int, phrase: int):
-    wide = phrase + (length - phrase) // 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(row for batch in batches for row in batch.to_pylist()):
-            automaton = ahocorasick.Automaton()
-            for row in shard:
-                passage = row["piece"][row["begin"] : row["begin"] + wide]
-                automaton.add_word(passage, passage)
-            automaton.make_automaton()
-            # a context counts where the automaton finds a passage in it
-            there = [row for row in shard if next(automaton.iter(row["piece"]), None)]
-            out = shared_windows([r["piece"] for r in there], [r["doc"] for r in there], length) if there else []
-            if out:
-                yield pa.RecordBatch.from_pylist([{"doc": there[p]["doc"], "lo": there[p]["first"] + a, "hi": there[p]["first"] + b} for p, a, b in out], _fields(batch_type(shard, "doc")))
-
-    return run
-
-
-def batch_type(rows: list[dict], column: str) -> pa.DataType:
-    return pa.infer_type([rows[0][column]])
-
-
-def _fields(doc: pa.DataType) -> pa.Schema:
-    return pa.schema([("doc", doc), ("lo", pa.int32()), ("hi", pa.int32())])
-
-
-def _window_rows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces = batch.column(2).to_pylist()
-            for start in range(0, len(pieces), 500):
-                points, bounds = ta.flat(pieces[start : start + 500])
-                lengths = np.diff(bounds) - length + 1
-                at = spread(bounds[:-1], lengths)
-                piece = np.repeat(np.arange(len(lengths)), lengths)
-                first = np.asarray(batch.column(1))[start : start + 500][piece]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ta.SliceHasher(points).of(at, at + length).view(np.int64)), batch.column(0).take(pa.array(piece + start)), pa.array((first + at - bounds[:-1][piece]).astype(np.int32))],
-                    ["window", "doc", "lo"],
-                )
+def _windows(length: int):
+    """Windows of a shard's contexts, counted by hash: how often, in which places (a sum of hashes), the least place and the last record."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pieces = table.column("piece").to_pylist()
+        points, bounds = ta.flat(pieces)
+        lengths = np.diff(bounds) - length + 1
+        at = spread(bounds[:-1], lengths)
+        window = ta.SliceHasher(points).of(at, at + length).view(np.int64)
+        row = np.repeat(np.arange(len(pieces)), lengths)
+        key, member = (table.column(c).to_numpy() for c in ("key", "member"))
+        doc = np.unique(np.array(table.column("doc").to_pylist()), return_inverse=True)[1]
+        anchor = table.column("anchor").to_numpy()
+        first = table.column("first").to_numpy()
+        lo = first[row] + at - bounds[:-1][row]
+        order = np.lexsort((lo, anchor[row], doc[row], window, key[row]))
+        row, window, lo = row[order], window[order], lo[order]
+        begin = np.flatnonzero(np.append(True, (window[1:] != window[:-1]) | (key[row][1:] != key[row][:-1])))
+        end = np.append(begin[1:], len(order)) - 1
+        count, places = end - begin + 1, np.bitwise_xor.reduceat(member[row], begin)
+        least, last = row[begin], row[end]
+        # all contexts of a key that is not spread are here
+        keep = table.column("spread").to_numpy(zero_copy_only=False)[least] | (doc[least] != doc[last])
+        at, least, last = begin[keep], least[keep], last[keep]
+        docs = table.column("doc").combine_chunks()
+        return pa.table(
+            {
+                "key": key[least], "window": window[at], "n": count[keep], "places": places[keep], "doc": docs.take(pa.array(least)), "anchor": anchor[least].astype(np.int32),
+                "lo": lo[at].astype(np.int32), "first": first[least], "other": docs.take(pa.array(last)),
+            }
+        )
 
     return run
 
 
-def _recurring(df: DataFrame, *keys: str) -> DataFrame:
-    """Keys that stand in two records, with the number of their rows."""
-    found = df.groupBy(*keys).agg(F.min("doc").alias("one"), F.max("doc").alias("other"), F.count("*").alias("n"))
-    return found.where("one <> other").drop("one", "other")
+def _automata(table: pa.Table) -> pa.Table:
+    """Hits of a shard's passages in its contexts: the passage (by its least occurrence and size), record, begin and end."""
+    kinds = table.column("passage").to_numpy(zero_copy_only=False)
+    docs, firsts, pieces = (table.column(c).to_pylist() for c in ("doc", "first", "piece"))
+    passages: dict[str, tuple] = {}
+    for i in np.flatnonzero(kinds).tolist():
+        here = (docs[i], firsts[i])
+        passages[pieces[i]] = min(passages.get(pieces[i], here), here)
+    out: tuple[list, ...] = ([], [], [], [], [], [])
+    if passages:
+        automaton = ahocorasick.Automaton()
+        for text, (by, first) in passages.items():
+            automaton.add_word(text, (by, first, len(text)))
+        automaton.make_automaton()
+        for i in np.flatnonzero(~kinds).tolist():
+            for end, (by, first, size) in automaton.iter(pieces[i]):
+                hit = firsts[i] + end + 1
+                for column, value in zip(out, (by, first, size, docs[i], hit - size, hit), strict=True):
+                    column.append(value)
+    doc, place = table.schema.field("doc").type, pa.int32()
+    return pa.table([pa.array(c, t) for c, t in zip(out, (doc, place, place, doc, place, place), strict=True)], ["by", "first", "size", "doc", "lo", "end"])
+
+
+def _filed(rows: DataFrame, hot: DataFrame | None, shards: int) -> DataFrame:
+    """``rows`` with their shard, whether their key is spread, and over how many salts."""
+    marked = rows.withColumn("__salts", F.lit(None).cast("int")) if hot is None else rows.join(F.broadcast(hot), "key", "left")
+    spread_ = F.col("__salts").isNotNull()
+    return marked.withColumn("spread", spread_).withColumn("shard", F.when(spread_, F.col("key")).otherwise(F.pmod("key", F.lit(shards))))
 
 
 def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, phrase: int = PHRASE) -> DataFrame:
@@ -236,29 +221,46 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, phras
     rows = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= length))
     kind = rows.schema["doc"].dataType.simpleString()
     named = rows.mapInArrow(_block_rows(length, phrase), f"doc {kind}, phrase bigint, signature bigint, lo int, hi int, at int")
-    found = checkpointed(named.join(_recurring(named, "phrase").select("phrase"), "phrase", "left_semi"))
-    whole = found.groupBy("phrase", "signature").agg(F.min("doc").alias("one"), F.max("doc").alias("other")).where("one <> other")
-    settled = found.join(whole, ["phrase", "signature"], "left_semi").select("doc", "lo", "hi")
-    unsettled = found.join(whole, ["phrase", "signature"], "left_anti")
-    # of settled blocks with an unsettled one's phrase two records stand for all, as one of them is another record
-    sharing = whole.join(unsettled.select("phrase"), "phrase", "left_semi")
-    standing = found.join(sharing, ["phrase", "signature"]).where("doc = one OR doc = other")
-    standing = standing.groupBy("phrase", "signature", "doc").agg(F.min(F.struct("lo", "hi", "at")).alias("b")).select("doc", "b.lo", "b.hi", "b.at")
-    open_ = checkpointed(unsettled.select("doc", "lo", "hi", "at").unionByName(standing))
-    by_doc = open_.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi", "at")).alias("blocks"))
-    if open_.count() <= BROADCAST_BLOCKS:
+    recurring = checkpointed(named.groupBy("phrase").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a <> b").select("phrase", "n"))
+    found = checkpointed(skew.join_counted(named, recurring, ["phrase"]).drop("n"))
+    # a signature covers the phrase's place too, so equal ones mean equal phrases
+    place = F.struct("doc", "lo")
+    whole = found.groupBy("signature").agg(F.min(place).alias("one"), F.max(place).alias("other"), F.count("*").alias("n")).where("one.doc <> other.doc")
+    whole = checkpointed(whole)
+    marked = checkpointed(skew.join_counted(found, whole.select("signature", "n", F.struct("one", "other").alias("both")), ["signature"], "left").drop("n"))
+    ends = (place == F.col("both.one")) | (place == F.col("both.other"))
+    # of a recurring block with an unsettled one's phrase two records stand for all, as one of them is another record
+    unsettled = checkpointed(marked.where("both IS NULL").groupBy("phrase").agg(F.count("*").alias("n")))
+    standing = marked.where(F.col("both").isNotNull() & ends).select("doc", "lo", "hi", "at", "phrase")
+    standing = standing.join(unsettled.select("phrase"), "phrase", "left_semi").select("doc", "lo", "hi", "at", F.lit(True).alias("open"), F.lit(False).alias("whole"))
+    settled = marked.where("both IS NOT NULL").select("doc", "lo", "hi", "at", F.lit(False).alias("open"), (place == F.col("both.one")).alias("whole"))
+    every = marked.where("both IS NULL").select("doc", "lo", "hi", "at", F.lit(True).alias("open"), F.lit(False).alias("whole")).unionByName(settled).unionByName(standing)
+    by_doc = every.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi", "at", "open", "whole")).alias("blocks"))
+    if marked.count() <= BROADCAST_BLOCKS:
         by_doc = F.broadcast(by_doc)
     texts = rows.join(by_doc, "doc").select("doc", "text", "blocks")
-    contexts = checkpointed(texts.mapInArrow(_contexts(length, phrase), f"passage bigint, doc {kind}, first int, begin int, piece string"))
-    confirmed = _recurring(contexts, "passage")
-    routed = contexts.join(confirmed, "passage")
-    shards = routed.where(F.col("n") <= HOT_CONTEXTS).drop("n").repartition("passage").sortWithinPartitions("passage")
-    spans = settled.unionByName(shards.mapInArrow(_automata(length, phrase), f"doc {kind}, lo int, hi int"))
-    if not confirmed.where(F.col("n") > HOT_CONTEXTS).isEmpty():
-        single = routed.where(F.col("n") > HOT_CONTEXTS).select("doc", "first", "piece").mapInArrow(_window_rows(length), f"window bigint, doc {kind}, lo int")
-        again = single.join(_recurring(single, "window").select("window"), "window", "left_semi")
-        spans = spans.unionByName(again.select("doc", "lo", F.col("lo").alias("hi")))
-    return merged(spans.select("doc", "lo", (F.col("hi") + length).alias("end"))).select(F.col("doc").alias(key), F.col("lo").cast("bigint").alias("start_char"), F.col("end").cast("bigint").alias("end_char"))
+    contexts = checkpointed(texts.mapInArrow(_contexts(length, phrase), f"key bigint, doc {kind}, first int, anchor int, open boolean, whole boolean, piece string"))
+    # shards of bounded size: keys of more contexts than one shard takes are spread, the others are filed together
+    total = contexts.count()
+    parts = max(1, min(MOST_SPREAD, total // SHARD_CONTEXTS))
+    hot = skew.hot_keys(contexts.groupBy("key").agg(F.count("*").alias("n")), ["key"], "n", total, parts)
+    filed = _filed(contexts, hot, parts).withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("doc", "first"), F.col("__salts")).cast("int"), F.lit(0)))
+    counts = filed.where("open").withColumn("member", F.xxhash64("doc", "anchor")).groupBy("shard", "__salt")
+    counts = counts.applyInArrow(_windows(length), f"key bigint, window bigint, n bigint, places bigint, doc {kind}, anchor int, lo int, first int, other {kind}")
+    confirmed = counts.groupBy("key", "window").agg(F.sum("n").alias("n"), F.bit_xor("places").alias("places"), F.min(F.struct("doc", "anchor", "lo", "first")).alias("one"), F.max("other").alias("other")).where("one.doc <> other")
+    # windows of one context that recur in the same places: as those are intervals around the anchor, the whole run recurs there
+    runs = confirmed.groupBy("key", "one.doc", "one.anchor", "one.first", "places", "n").agg(F.min("one.lo").alias("lo"), F.max("one.lo").alias("hi")).drop("places", "n")
+    cut = runs.join(contexts.where("open").select("key", "doc", "anchor", "first", "piece"), ["key", "doc", "anchor", "first"])
+    cut = cut.select("key", "doc", F.col("lo").alias("first"), F.substring("piece", F.col("lo") - F.col("first") + 1, F.col("hi") - F.col("lo") + length).alias("piece"))
+    passages = _filed(cut.unionByName(contexts.where("whole").select("key", "doc", "first", "piece")).withColumn("passage", F.lit(True)), hot, parts)
+    passages = passages.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
+    columns = ["key", "doc", "first", "piece", "passage", "shard", "__salt"]
+    streamed = filed.withColumn("passage", F.lit(False)).select(columns).unionByName(passages.select(columns))
+    hits = checkpointed(streamed.groupBy("shard", "__salt").applyInArrow(_automata, f"by {kind}, first int, size int, doc {kind}, lo int, end int"))
+    passage = ["by", "first", "size"]
+    places = checkpointed(hits.groupBy(*passage).agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a <> b").drop("a", "b"))
+    spans = skew.join_counted(hits, places, passage).select("doc", "lo", "end")
+    return merged(spans).select(F.col("doc").alias(key), F.col("lo").cast("bigint").alias("start_char"), F.col("end").cast("bigint").alias("end_char"))
 
 
 def merged(spans: DataFrame) -> DataFrame:

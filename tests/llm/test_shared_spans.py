@@ -43,8 +43,8 @@ def corpus(seed, n, alphabet):
 @pytest.mark.parametrize("hot", [False, True])
 @pytest.mark.parametrize("alphabet", ["abcdefghij 中文", "ab"])
 def test_same_spans_as_brute_force(spark, monkeypatch, hot, alphabet):
-    if hot:  # every passage takes the way by aggregation, and blocks go by shuffle
-        monkeypatch.setattr(S, "HOT_CONTEXTS", 1)
+    if hot:  # keys are spread over several shards, and blocks go by shuffle
+        monkeypatch.setattr(S, "SHARD_CONTEXTS", 3)
         monkeypatch.setattr(S, "BROADCAST_BLOCKS", 0)
     rows = corpus(5, 40, alphabet)
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id bigint, text string, lo int")
@@ -68,3 +68,15 @@ def test_no_shared_text(spark):
     df = spark.createDataFrame([(1, "x" * 10), (2, None)], "doc_id bigint, text string")
     assert S.shared_spans(df, "doc_id", "text").count() == 0
     assert S.shared_spans(df.where("false"), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_many_records_whatever_joins_spark_picks(spark, monkeypatch, threshold):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(3, 400, "abcdefghij"))]
+    monkeypatch.setattr(S, "SHARD_CONTEXTS", 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+        assert {tuple(r) for r in S.shared_spans(df, "doc_id", "text").collect()} == brute(rows, 320)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
