@@ -4,8 +4,8 @@ Each task reads its share of the corpus in shards of bounded size. A shard's tex
 token numbers, numbered by the test items' own vocabulary (0 for any other token, which ends every match). Its
 suffixes, cut at the window length and left out where the first tokens can't start a test window, are sorted
 into a suffix array; every suffix of every test item is then located in it by binary search, for the short
-and the long window. The test items are the broadcast side: they are a table of fixed size, and their
-number is checked. The corpus is read once, in a narrow stage, and only matches leave it.
+and the long window. The test items are the broadcast side: their size is checked, and more than one broadcast should hold
+are searched in groups. The corpus is read once for each group, in a narrow stage, and only matches leave it.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from cairn.llm.tokenizer import spread
 WINDOW = 13
 RUN = 5
 SHARE = 0.5
-#: Largest total size of the test items, in characters; more of them are to be given in several calls.
-MAX_TEST_CHARS = 5_000_000
+#: Size of the test items that are sent to the tasks at once, in characters; more of them are searched group by group.
+GROUP_CHARS = 5_000_000
 #: Characters that are removed before normalisation.
 INVISIBLE = "​‌‍⁠﻿­"
 _invisible = re.compile(f"[{INVISIBLE}]")
@@ -115,6 +116,14 @@ class TestItems:
         self.run_count = np.bincount(pairs[:, 0], minlength=len(self.runs)).astype(np.int64)
         self.run_at = np.cumsum(self.run_count) - self.run_count
         self.total = np.bincount(pairs[:, 1], minlength=len(cases)).astype(np.int64)
+        # the least and the greatest key of a suffix that begins with each short window
+        wide = np.zeros((len(self.runs), self.width * window), np.uint8)
+        short = self.width * run
+        wide[:, :short] = np.frombuffer(self.runs.tobytes(), np.uint8).reshape(-1, short)
+        self.runs_low = wide.view(f"S{wide.shape[1]}").ravel()
+        wide = wide.copy()
+        wide[:, short:] = 255
+        self.runs_high = wide.view(f"S{wide.shape[1]}").ravel()
         # long windows
         self.long_at = np.flatnonzero(left >= window)
         self.longs = windows(self.ids, self.long_at, window)
@@ -157,14 +166,9 @@ class Shard:
         order = np.argsort(keys, kind="stable")
         self.suffixes, self.keys = at[order], keys[order]
 
-    def locate(self, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Range of the suffixes that begin with each prefix."""
-        size = self.keys.dtype.itemsize
-        fill = size - prefixes.dtype.itemsize
-        low = np.searchsorted(self.keys, prefixes.astype(self.keys.dtype), side="left")
-        high_keys = np.frombuffer(b"".join(p.ljust(prefixes.dtype.itemsize, b"\0") + b"\xff" * fill for p in prefixes.tolist()), self.keys.dtype) if fill else prefixes
-        high = np.searchsorted(self.keys, high_keys, side="right")
-        return low, high
+    def locate(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Range of the suffixes from each low key to the high one."""
+        return np.searchsorted(self.keys, low, side="left"), np.searchsorted(self.keys, high, side="right")
 
     def matches(self) -> dict[str, np.ndarray]:
         """Pairs of text and test item with their runs found, and whether a long window stands in the text."""
@@ -172,7 +176,7 @@ class Shard:
         empty = np.zeros(0, np.int64)
         if not len(self.keys) or not len(items.runs):
             return {"pair": empty, "found": empty, "window": np.zeros(0, bool)}
-        low, high = self.locate(items.runs)
+        low, high = self.locate(items.runs_low, items.runs_high)
         count = high - low
         hit = self.suffixes[spread(low, count)]
         run = np.repeat(np.arange(len(items.runs)), count)
@@ -181,7 +185,7 @@ class Shard:
         many = items.run_count[run]
         pair = np.repeat(text, many) * len(items.case_ids) + items.run_items[spread(items.run_at[run], many)]
         pair, found = np.unique(pair, return_counts=True)
-        low, high = self.locate(items.longs)
+        low, high = self.locate(items.longs, items.longs)
         count = high - low
         text = self.text[self.suffixes[spread(low, count)]].astype(np.int64)
         long = np.unique(text * len(items.case_ids) + np.repeat(items.item[items.long_at], count))
@@ -192,7 +196,7 @@ class Shard:
         items = self.items
         own = items.starts_by_item[item]
         starts, runs = items.run_starts[own], items.run_of_start[own]
-        low, high = self.locate(items.runs[runs])
+        low, high = self.locate(items.runs_low[runs], items.runs_high[runs])
         best = (0, 0, 0)
         for begin, lo, hi in zip(starts, low, high, strict=True):
             for suffix in self.suffixes[lo:hi][self.text[self.suffixes[lo:hi]] == text]:
@@ -215,8 +219,14 @@ def find_leaks(corpus: DataFrame, record_id: str, text: str, cases: DataFrame, c
     columns are read.
     """
     size = cases.select(F.sum(F.length(query))).first()[0] or 0
-    if size > MAX_TEST_CHARS:
-        raise ValueError(f"the test items hold {size} characters; at most {MAX_TEST_CHARS} are searched in one call")
+    groups = -(-size // GROUP_CHARS)
+    if groups > 1:  # all rows of a case are in one group
+        group = F.pmod(F.xxhash64(F.col(case_id).cast("string")), F.lit(groups))
+        return reduce(DataFrame.unionByName, [_find(corpus, record_id, text, cases.where(group == g), case_id, query, run, window, share) for g in range(groups)])
+    return _find(corpus, record_id, text, cases, case_id, query, run, window, share)
+
+
+def _find(corpus: DataFrame, record_id: str, text: str, cases: DataFrame, case_id: str, query: str, run: int, window: int, share: float) -> DataFrame:
     rows = cases.select(F.col(case_id).cast("string"), F.col(query)).where(F.col(case_id).isNotNull()).distinct().collect()
     given = sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0], r[1] or ""))
 

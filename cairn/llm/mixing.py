@@ -18,6 +18,8 @@ from cairn.session import checkpointed
 
 #: Buckets of the quotient, per source; the ranked bucket holds about this part of a source.
 BUCKETS = 16_384
+#: How near, as a part of what is drawn from a source, the last document must bring it.
+CLOSE = 0.001
 #: Sources of a target table; its rows, and only sums by source, come to the driver.
 MAX_SOURCES = 100_000
 
@@ -43,8 +45,8 @@ def mix_sources(docs: DataFrame, key: str, source: str, size: str, targets: Data
     ``targets`` has source, target_share and max_repeats; rows of one source are added up (with the least
     max_repeats, a null one being 1), null sources and shares are left out. A document has ``floor`` or
     ``floor + 1`` of its source's average number of copies, never more than max_repeats. The size taken from a
-    source misses its share by less than one document: the gap after the last whole draw is given to the one
-    further document that fits it best. Documents with null key, null or unknown
+    source misses its share by less than one document: the gap after the last whole draw goes to the next document
+    in the order that closes it to a thousandth of the source's size, or, if none does, to the one that comes nearest. Documents with null key, null or unknown
     source, or null or zero size are never chosen; repeated rows of a key count once. The draw depends on key
     and seed only, so reruns and lost executors change nothing.
 
@@ -84,10 +86,10 @@ def mix_sources(docs: DataFrame, key: str, source: str, size: str, targets: Data
     taken = F.col("bucket").isNotNull() & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")))
     rest = placed.where("bucket IS NULL OR cut IS NULL OR bucket <> cut").withColumn("extra", F.when(taken, 1).otherwise(0))
     drawn = rest.unionByName(last)
-    # the gap that is left, smaller than one document, goes to the document that fits it best
-    gaps = drawn.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("filled"), F.first("budget").alias("budget")).select("source", (F.col("budget") - F.col("filled")).alias("gap"))
+    # the gap that is left, smaller than one document, goes to the first in the order that closes it well enough
+    gaps = drawn.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("filled"), F.first("budget").alias("budget")).select("source", (F.col("budget") - F.col("filled")).alias("gap"), (F.col("budget") * CLOSE).alias("near"))
     fits = drawn.where("extra = 0 AND bucket IS NOT NULL").join(F.broadcast(gaps), "source")
-    fits = fits.where("size < 2 * gap").groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "key")).alias("best"))
+    fits = fits.where("size < 2 * gap").groupBy("source").agg(F.min(F.struct(F.greatest(F.abs(F.col("size") - F.col("gap")), F.col("near")).alias("off"), "rank", "key")).alias("best"))
     drawn = drawn.join(F.broadcast(fits.select("source", F.col("best.key").alias("filler"))), "source", "left")
     copies = F.col("whole") + F.col("extra") + F.coalesce((F.col("key") == F.col("filler")).cast("int"), F.lit(0))
     chosen = checkpointed(drawn.select("key", "source", "size", copies.alias("copies")).where("copies > 0"))

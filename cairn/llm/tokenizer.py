@@ -6,15 +6,18 @@ such a place. Distinct pieces not met before are encoded together: their symbols
 each round merges, in every piece at once, the pair of lowest rank, found by binary search over the sorted
 pair keys. Pieces met before come from a table kept by the Python worker, keyed by 128-bit hashes.
 
-Nothing is shuffled: one narrow stage reads the texts and writes the ids.
+Nothing is shuffled: one narrow stage reads the texts and writes the ids. The vocabulary file, of some megabytes,
+is read by the driver and broadcast, so executors need no copy of it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +53,8 @@ def _byte_symbols() -> list[str]:
 class BytePairVocabulary:
     """A vocabulary file and the tables for merging."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+    def __init__(self, content: str | bytes) -> None:
+        model = json.loads(content)["model"]
         vocabulary, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         symbols = _byte_symbols()
         self.of_byte = np.array([vocabulary[s] for s in symbols], np.int32)
@@ -317,7 +319,24 @@ def spread(at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> BytePairVocabulary:
     """The vocabulary at ``path``, loaded once by each process."""
-    return BytePairVocabulary(path)
+    return BytePairVocabulary(Path(path).read_bytes())
+
+
+_read: dict[str, BytePairVocabulary] = {}
+
+
+def _shipped(df: DataFrame, path: str) -> Callable[[], BytePairVocabulary]:
+    """What gives a task the vocabulary at ``path``, which is broadcast and read once by each worker."""
+    content = Path(path).read_bytes()
+    sent, name = df.sparkSession.sparkContext.broadcast(content), hashlib.sha256(content).hexdigest()
+
+    def get() -> BytePairVocabulary:
+        if name not in _read:
+            _read.clear()
+            _read[name] = BytePairVocabulary(sent.value)
+        return _read[name]
+
+    return get
 
 
 def encode_texts(df: DataFrame, key: str, text: str, path: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -328,9 +347,10 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = DEFAULT_VOCABUL
     so none can clash.
     """
     kind = df.schema[key].dataType.simpleString()
+    get = _shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary(path)
+        table = get()
         for batch, texts in ta.chunks(batches, "text"):
             ids, counts = table.encode([t or "" for t in texts])
             offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
@@ -345,9 +365,10 @@ def count_tokens(df: DataFrame, text: str, into: str = "n_tokens", path: str = D
     rest = [c for c in df.columns if c != text]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
+    get = _shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary(path)
+        table = get()
         for batch, texts in ta.chunks(batches, "text"):
             _, counts = table.encode([t or "" for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts)], ["row", "n"])

@@ -61,3 +61,12 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([("c", "some words are here now")], "case_id string, query string")
     assert C.find_leaks(corpus.where("false"), "record_id", "text", items).count() == 0
     assert C.find_leaks(corpus, "record_id", "text", items.where("false")).count() == 0
+
+
+def test_more_test_items_than_one_group(spark, monkeypatch):
+    cases = [(f"c{i}", " ".join(f"w{i}x{j}" for j in range(15))) for i in range(12)]
+    docs = [(f"d{i}", "before " + cases[i][1] + " and " + cases[(i + 5) % 12][1]) for i in range(12)]
+    monkeypatch.setattr(C, "GROUP_CHARS", 200)
+    corpus, items = spark.createDataFrame(docs, "record_id string, text string"), spark.createDataFrame(cases, "case_id string, query string")
+    rows = C.find_leaks(corpus, "record_id", "text", items).collect()
+    assert {(r["record_id"], r["case_id"]) for r in rows} == brute(docs, cases) and len(rows) == 24

@@ -51,3 +51,16 @@ def test_missing_source_and_empty_tables(spark):
 def test_allocation():
     total, average = M.allocate({"a": 100, "b": 10}, {"a": (0.5, 1), "b": (0.5, 3)})
     assert total == 60 and average == {"a": 0.3, "b": 3.0}
+
+
+def test_documents_of_a_source_are_drawn_equally_often(spark):
+    docs = spark.createDataFrame([(i, "a" if i < 60 else "b", 10 + i % 3) for i in range(100)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    times, seeds = dict.fromkeys(range(100), 0), 25
+    for seed in range(seeds):
+        for r in M.mix_sources(docs, "doc_id", "source", "n_tokens", targets, total=440, seed=seed)[0].collect():
+            times[r["doc_id"]] += 1
+    for source, n in ((range(60), 60), (range(60, 100), 40)):
+        odds = 220 / (11 * n)
+        off = [(times[i] - seeds * odds) / (seeds * odds * (1 - odds)) ** 0.5 for i in source]
+        assert max(map(abs, off)) < 4.5 and sum(x * x for x in off) / n == pytest.approx(1, abs=0.6)
