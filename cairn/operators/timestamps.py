@@ -188,8 +188,8 @@ def normalise_timestamps(df: DataFrame, key: str, fields: dict[str, Column], wal
     offsets, and clock times that its zone skips. ``instant_us`` is given for resolved values only and cut
     off at microseconds. An offset, abbreviation or zone in the value decides; else the clock is that of
     ``wall_zone``, UTC if that is null; an unknown zone gives 'none'. A clock time that occurs twice is its first
-    occurrence, a day alone its 00:00, a dotted date day first. A value of more than 100 characters, white space
-    trimmed and collapsed, gives 'none'. Repeated rows are repeated.
+    occurrence, a day alone its 00:00, a dotted date day first. White space is trimmed and collapsed first, and a
+    value may be of any length. Repeated rows are repeated.
     """
     return normalise_values(timestamp_values(df, key, fields, wall_zone, source), certainty)
 
@@ -197,7 +197,7 @@ def normalise_timestamps(df: DataFrame, key: str, fields: dict[str, Column], wal
 def normalise_values(values: DataFrame, certainty: float = CERTAINTY) -> DataFrame:
     """:func:`normalise_timestamps` of rows as :func:`timestamp_values` gives them."""
     zones = zone_names(values)
-    flat = values.withColumn("text", _let(cleaned(F.col("value")), lambda c: F.when(F.length(c) <= 100, c))).withColumn("shared", F.coalesce(F.col("text").rlike(_SHARED), F.lit(False)))
+    flat = values.withColumn("text", cleaned(F.col("value"))).withColumn("shared", F.coalesce(F.col("text").rlike(_SHARED), F.lit(False)))
 
     def read(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
         # the explode keeps the readings from being computed once for each use

@@ -99,6 +99,6 @@ def test_empty_table(spark):
     assert T.normalise_timestamps(df, "id", {"f": F.col("value")}, F.col("wall_zone"), F.col("source")).count() == 0
 
 
-def test_length_counts_after_trimming(spark):
-    got = read(spark, [(" " * 120 + "2025-07-01" + " " * 60 + "08:00:00" + "\n" * 90, None, "s"), ("　" * 101 + "2025-07-01T08:00", None, "s"), ("2025-07-01 " + "x" * 100, None, "s")])
-    assert [(got[i]["status"], got[i]["instant_us"]) for i in range(3)] == [("resolved", micros(2025, 7, 1, 8))] * 2 + [("none", None)]
+def test_values_of_any_length(spark):
+    got = read(spark, [(" " * 120 + "2025-07-01" + " " * 60 + "08:00:00" + "\n" * 90, None, "s"), ("　" * 101 + "2025-07-01T08:00", None, "s"), ("2025-07-01T08:00:00." + "0" * 200 + "Z", None, "s"), ("2025-07-01 " + "x" * 100, None, "s")])
+    assert [(got[i]["status"], got[i]["instant_us"]) for i in range(4)] == [("resolved", micros(2025, 7, 1, 8))] * 3 + [("none", None)]
