@@ -1,6 +1,8 @@
 """Text of scanned pages repaired: furniture removed, divided words joined, misread characters corrected.
 
-1. Pages are read one by one (a page is the largest unit any task holds): their lines are told apart as
+1. Furniture is what repeats: a line at the edge of a page whose words, numbers and look-alikes aside, stand at
+   the edge of another page of the scan, or of many scans. Page numbers, alone or beside a wide gap, are known by form.
+   Pages are read one by one (a page is the largest unit any task holds): their lines are told apart as
    furniture, headings, captions, tables and paragraphs, and split into tokens; words divided at a line end
    are set aside with what follows them. Only the last paragraph line of each page looks at a later page.
 2. The corpus lexicon counts the undivided words, map-side first. Its frequent words form a symmetric-delete
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators import ordered
+from cairn.operators import ordered, skew
 from cairn.session import checkpointed
 
 #: Glyphs as read, and what they may stand for.
@@ -40,13 +42,16 @@ MARKS = "-­‐‑¬"
 RATIO = 8
 #: Cost of a look-alike, of any other edit, and the most that a repair may cost.
 NEAR, FAR, MOST = 1.0, 3.0, 2.0
+#: Lines at the top and at the bottom of a page among which its furniture is looked for.
+TOP, BOTTOM = 2, 3
+#: A line is a stamp if it stands in so many scans, of a thousand and at least, and so often at the edge of a page.
+STAMP_SHARE, STAMP_SCANS, STAMP_EDGE = 0.001, 5, 0.8
 #: Pages of one scan that are linked in one window; scans of more pages are linked bucket by bucket.
 PAGE_BUCKET = 256
 
 _number = r"[\[\-–— (]*(?:(?=[0-9OolISBZ|]*[0-9OlSB])[0-9OolISBZ|]{1,5}|[ivxlc1]{1,6}|[Pp]age [0-9OolISB|]{1,5}(?: of [0-9OolISB|]{1,5})?|第 ?[0-9OolISB|]{1,5} ?页)[\]\-–— )]*"
 _page_number = re.compile(_number)
 _running = re.compile(rf"(?:{_number}\s{{3,}}\S.*|\S.*\s{{3,}}{_number})")
-_stamp = re.compile(r"scanned (copy|by|from)\b.*|digitis?z?ed by .*|.*\breading room", re.IGNORECASE)
 _heading = re.compile(r"(?:[0-9OlISB]{1,3}(?:\.[0-9OlISB]{1,3})+\.? \S.{0,80}|第 ?[0-9OlISB一二三四五六七八九十]{1,4} ?[节章] .{0,40})")
 _caption = re.compile(r"(?:Figure|Fig\.|Table|Abbildung|Tabelle|图|表) ?[0-9OlISB]{1,4}\b.{0,90}")
 _tag = re.compile(r"<[^<>]*>")
@@ -69,18 +74,39 @@ def number_repair(token: str) -> str | None:
 
 
 def is_furniture(line: str, alone: bool, edge: bool) -> bool:
-    """Whether a line is a running header or footer, a page number or a copy stamp.
+    """Whether a line is a page number, or one beside a wide gap, by its form alone.
 
     ``alone``: it is all of its block; ``edge``: it is the first or last line of its page.
     """
     text = line.strip()
-    if _running.fullmatch(text) or _stamp.fullmatch(text):
+    if _running.fullmatch(text):
         return True
     return (alone or edge) and bool(_page_number.fullmatch(text))
 
 
-def page_lines(blocks: list[dict]) -> list[dict]:
-    """Rows of LINE for the lines of one page, whose blocks are in reading order."""
+def repeated_lines(pages: DataFrame) -> DataFrame:
+    """(scan_id, page_index, furniture): places (block_id, line_no) of the lines of ``pages`` that repeat at the edges of pages."""
+    line = "named_struct('block_id', b.block_id, 'line_no', i + 1, 'text', trim(x))"
+    lines = F.expr(f"flatten(transform(blocks, b -> filter(transform(split(coalesce(b.block_content, ''), '\n'), (x, i) -> {line}), l -> l.text <> '')))")
+    placed = pages.select("scan_id", "page_index", lines.alias("lines")).select("scan_id", "page_index", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("at", "line"))
+    edge = (F.col("at") < TOP) | (F.col("at") >= F.col("n_lines") - BOTTOM)
+    numbers = F.regexp_replace(F.lower("line.text"), r"[0-9oil|sbzgq]*[0-9][0-9oil|sbzgq]*", "#")
+    mask = F.when(numbers.rlike(r"\p{L}.*\p{L}.*\p{L}") & ~numbers.startswith("<"), F.xxhash64(fold(F.regexp_replace(numbers, r"\s+", " "))))
+    masked = placed.select("scan_id", "page_index", F.col("line.block_id").alias("block_id"), F.col("line.line_no").alias("line_no"), edge.alias("edge"), mask.alias("mask")).where("mask IS NOT NULL")
+    by_page = masked.groupBy("scan_id", "mask", "page_index").agg(F.count("*").alias("n"), F.count_if("edge").alias("n_edge"))
+    by_scan = by_page.groupBy("scan_id", "mask").agg(F.sum("n").alias("n_all"), F.sum("n_edge").alias("n_edge"), F.count_if(F.col("n_edge") > 0).alias("n_pages"))
+    by_scan = checkpointed(by_scan.where("n_edge > 0"))
+    scans = pages.agg(F.approx_count_distinct("scan_id")).first()[0] or 0
+    often = by_scan.groupBy("mask").agg(F.count("*").alias("n_scans"), F.sum("n_all").alias("n_all"), F.sum("n_edge").alias("n_edge"))
+    # as every page has few edge lines, so large a share of all scans leaves room for a bounded number of stamps
+    stamps = often.where((F.col("n_scans") >= max(STAMP_SCANS, STAMP_SHARE * scans)) & (F.col("n_edge") >= STAMP_EDGE * F.col("n_all"))).select("mask", F.lit(True).alias("stamp"))
+    known = by_scan.join(F.broadcast(stamps), "mask", "left").where("n_pages > 1 OR stamp").select("scan_id", "mask", F.col("n_edge").alias("n"))
+    found = skew.join_counted(masked.where("edge").drop("edge"), checkpointed(known), ["scan_id", "mask"])
+    return found.groupBy("scan_id", "page_index").agg(F.collect_set(F.struct("block_id", "line_no")).alias("furniture"))
+
+
+def page_lines(blocks: list[dict], furniture: set[tuple[int, int]] = frozenset()) -> list[dict]:
+    """Rows of LINE for the lines of one page, whose blocks are in reading order; ``furniture``: places known to be that."""
     split = [(b["block_content"] or "").split("\n") for b in blocks]
     rows, flow = [], []
     places = [(i, j) for i, lines in enumerate(split) for j in range(len(lines)) if lines[j].strip()]
@@ -88,7 +114,7 @@ def page_lines(blocks: list[dict]) -> list[dict]:
         line, lines = split[i][j], split[i]
         edge = (i, j) in (places[0], places[-1])
         rest = [x for x in lines if x.strip()]
-        kind = "furniture" if is_furniture(line, len(rest) == 1, edge) else "body"
+        kind = "furniture" if (blocks[i]["block_id"], j + 1) in furniture or is_furniture(line, len(rest) == 1, edge) else "body"
         rows.append({"block_id": blocks[i]["block_id"], "line_no": j + 1, "kind": kind, "text": line, "at": i})
     for i in range(len(split)):
         body = [r for r in rows if r["at"] == i and r["kind"] == "body"]
@@ -141,7 +167,8 @@ def page_lines(blocks: list[dict]) -> list[dict]:
 def _pages(blocks: DataFrame) -> DataFrame:
     """Lines of all pages, with scan_id and page_index."""
     once = blocks.where("scan_id IS NOT NULL AND page_index IS NOT NULL AND block_id IS NOT NULL").select("scan_id", "page_index", F.struct("block_id", "block_content").alias("block"))
-    pages = once.groupBy("scan_id", "page_index").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    pages = checkpointed(once.groupBy("scan_id", "page_index").agg(F.array_sort(F.collect_set("block")).alias("blocks")))
+    pages = pages.join(repeated_lines(pages), ["scan_id", "page_index"], "left").select("scan_id", "page_index", "blocks", "furniture")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in LINE.split(", ")]
@@ -151,11 +178,11 @@ def _pages(blocks: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 which, rows = [], []
-                for i, found in enumerate(part.column(2).to_pylist()):
+                for i, (found, known) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                     seen: dict[int, dict] = {}
                     for b in found:  # repeated identical rows are gone; of others with one key the first counts
                         seen.setdefault(b["block_id"], b)
-                    for r in page_lines(list(seen.values())):
+                    for r in page_lines(list(seen.values()), {(k["block_id"], k["line_no"]) for k in known or ()}):
                         which.append(i)
                         rows.append(r)
                 at = pa.array(which, pa.int64())

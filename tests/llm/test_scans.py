@@ -25,7 +25,6 @@ def test_furniture():
         assert S.is_furniture(line, True, False) and not S.is_furniture("12 windows", True, True)
     assert S.is_furniture("Bulletin of Windows    Page 2 of 5", False, False)
     assert S.is_furniture("[203]    How the planner measures wi", False, True)
-    assert S.is_furniture("Scanned copy 2160, reading room", False, False)
     assert not S.is_furniture("2022", False, False)
 
 
@@ -72,6 +71,16 @@ def test_all_kinds(spark):
     }
 
 
+def test_furniture_is_what_repeats_at_the_edges(spark):
+    rows = book()
+    # a header without number or gap, in one scan; a stamp of one page in each of many scans; the same words within pages are body
+    rows += [("h", i, j, text) for i in range(4) for j, text in enumerate(["Annals of the lower valley", *(f"every {WORDS[4 * i + j]} measures {WORDS[5 * j - i]}." for j in range(2)), "Annals of the lower valley", *(f"before {WORDS[4 * i + j]} measures {WORDS[4 * j - i]}." for j in range(3))])]
+    rows += [(f"k{i}", 0, j, text) for i in range(8) for j, text in enumerate([f"every planner {WORDS[i]} measures.", f"Inv. {i}7 Mill Street 1ibrary" if i % 2 else f"Inv. {i}9 Mill Street Library"])]
+    rows += [("o", 0, 0, "Annals of the upper valley"), ("o", 1, 0, "every planner measures.")]
+    out = {r[:4] for r in found(spark, rows) if r[4] == "furniture" and r[0] not in {f"s{i}" for i in range(12)}}
+    assert out == {("h", i, 0, 1) for i in range(4)} | {(f"k{i}", 0, 1, 1) for i in range(8)}
+
+
 def test_compounds_and_buckets(spark, monkeypatch):
     monkeypatch.setattr(S, "PAGE_BUCKET", 2)
     rows = book() + [("u", i, 0, "A cross-encoder measures every window.") for i in range(9)]
