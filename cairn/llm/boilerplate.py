@@ -2,7 +2,7 @@
 
 The excerpts hold the leaf blocks of pages as lines, with their tags as line marks: headings, list items,
 table rows, code, links. A block's features are its mark, its text (words, shape, length, punctuation), the
-marks of its neighbours and its place. The field has one state for the main body and three for what
+marks of its neighbours, its place, and on how many of all pages the same line stands. The field has one state for the main body and three for what
 surrounds it: menus, teasers for other pages, and notices and footers. It is trained on a bounded sample of
 labelled pages on the driver and shipped with the tasks as one small array; each page is decoded on its own
 in a narrow stage.
@@ -11,6 +11,7 @@ in a narrow stage.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +32,10 @@ BATCH = 30
 RATE = 0.15
 DECAY = 1e-4
 
+#: Least share of texts in which a line stands that comes again.
+OFTEN = 0.001
+_BLANK, _BLANK_SQL = " \t\r", "' \\t\\r'"
+_digits = re.compile("[0-9]+")
 _word = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]+(?:_\w+)?|\d+|[|·›»>/▾©…•]")
 _link = re.compile(r"\[([^\]]*)\]\([^)]*\)")
 _mark = re.compile(r"\s*(#{1,6} |[-*+›•»] ?|\d{1,3}[.)] |\||>)")
@@ -84,29 +89,34 @@ def line_features(line: str) -> tuple[str, tuple[str, ...]]:
     short = size <= 3
     latin = [w for w in low if not "㐀" <= w[0] <= "鿿"]
     out += [f"w={w}" for w in set(latin)]
-    # short lines are told by what they say, long ones by what they begin and end with too
+    # every word of a line counts; in short ones the pairs of words and the line as a whole do too
     if short:
         out += [f"s={w}" for w in set(latin)]
-        out.append("line=" + " ".join(low)[:60])
-    near = latin if short or len(latin) <= 14 else [*latin[:9], "", *latin[-5:]]
-    out += [f"b={a} {b}" for a, b in zip(near, near[1:], strict=False) if a and b]
-    out += [f"first={' '.join(low[:2])[:30]}", f"last={' '.join(low[-2:])[-30:]}"]
-    runs = [w for w in words if "㐀" <= w[0] <= "鿿"]
-    for run in runs if short or len(runs) <= 6 else [*runs[:4], *runs[-2:]]:
-        ends = run if len(run) <= 30 else run[:16] + "\n" + run[-10:]
-        out += [f"c={ends[i : i + 2]}" for i in range(len(ends) - 1)]
+        out.append("line=" + " ".join(low))
+    if short or len(latin) <= 14:
+        out += [f"b={a} {b}" for a, b in zip(latin, latin[1:], strict=False)]
+    out += [f"first={' '.join(low[:2])}", f"last={' '.join(low[-2:])}"]
+    for run in (w for w in words if "㐀" <= w[0] <= "鿿"):
+        out += [f"c={run[i : i + 2]}" for i in range(len(run) - 1)]
         if short:
             out.append(f"r={run}")
     kind = mark if mark != "none" else "links" if links and not unlinked else "prose" if size >= 4 and stops else "parts" if separators else f"short{min(size, 2)}{case}"
     return kind, tuple(dict.fromkeys(out))
 
 
-def context_features(lines: list[str], at: list[int], kinds: list[str], title: str | None) -> list[list[str]]:
-    """Features of each line at ``at`` from its neighbours, its place and the page's title."""
+def masked(line: str) -> str:
+    """A line without white space at its ends and with its numbers made one, as the corpus counts it."""
+    return _digits.sub("9", line.strip(_BLANK))
+
+
+def context_features(lines: list[str], at: list[int], kinds: list[str], title: str | None, often: dict[str, int]) -> list[list[str]]:
+    """Features of each line at ``at`` from its neighbours, its place, the page's title and how often it stands on pages."""
     around, named, out = ["start", *kinds, "end"], (title or "").strip(), []
     for j, i in enumerate(at):
         before, kind, after = around[j : j + 3]
         extra = [f"prev={before}", f"next={after}", f"{before}>{kind}", f"{kind}>{after}", f"pos={min(j, 3)}|{min(len(at) - 1 - j, 3)}", "bias"]
+        level = often.get(masked(lines[i]), 0)
+        extra += [f"often={level}", f"often={level}|{kind}"]
         if i and not lines[i - 1].strip():
             extra += ["gap", f"gap|{kind}"]
         if named and lines[i].strip(" #\r\t") == named:
@@ -115,14 +125,32 @@ def context_features(lines: list[str], at: list[int], kinds: list[str], title: s
     return out
 
 
-def page_features(lines: list[str], title: str | None) -> tuple[list[int], list[list[str]]]:
+def page_features(lines: list[str], title: str | None, often: dict[str, int]) -> tuple[list[int], list[list[str]]]:
     """Numbers (from 0) of the lines that are not blank, and the features of each."""
     at = [i for i, line in enumerate(lines) if line.strip()]
     own = [line_features(lines[i].rstrip("\r")) for i in at]
-    extra = context_features(lines, at, [k for k, _ in own], title)
+    extra = context_features(lines, at, [k for k, _ in own], title, often)
     return at, [[*features, *more] for (_, features), more in zip(own, extra, strict=True)]
 
 
+def level(share: float) -> int:
+    """How often a line stands on pages: 0 below OFTEN, 1 below 1 %, else 2."""
+    return 0 if share < OFTEN else 1 if share < 0.01 else 2
+
+
+def often_lines(df: DataFrame, texts: list[str]) -> dict[str, int]:
+    """Masked lines of the text columns that stand in more than one text and at least OFTEN of all, with their level.
+
+    As shares add up to the mean number of lines of a text, there are at most 1 / OFTEN times as many such lines.
+    """
+    mask = F.expr(f"transform(split(text, '\n'), x -> regexp_replace(trim({_BLANK_SQL} FROM x), '[0-9]+', '9'))")
+    rows = df.select(F.explode(F.array(*texts)).alias("text")).where("text <> ''")
+    total = rows.count()
+    lines = rows.select(F.explode(F.array_distinct(mask)).alias("line")).where("line <> ''")
+    counts = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, OFTEN * total))
+    return {r["line"]: level(r["n"] / total) for r in counts.collect()}
+
+
 class Field:
     """Weights of features and transitions."""
 
@@ -135,7 +163,7 @@ class Field:
         """Sum of the features' weights; those never met in training have none."""
         return self.emit[[n for f in features if (n := self.number.get(f)) is not None]].sum(axis=0)
 
-    def scores(self, lines: list[str], title: str | None) -> tuple[list[int], np.ndarray]:
+    def scores(self, lines: list[str], title: str | None, often: dict[str, int]) -> tuple[list[int], np.ndarray]:
         """Numbers (from 0) of the lines that are not blank, and the score of each state for each of them.
 
         The weight of a line's own text is kept, as menus and footers come again on page after page.
@@ -154,7 +182,7 @@ class Field:
                     self.held[line] = held
             kinds.append(held[0])
             out[j] = held[1]
-        for j, extra in enumerate(context_features(lines, at, kinds, title)):
+        for j, extra in enumerate(context_features(lines, at, kinds, title, often)):
             key = tuple(extra)
             more = self.contexts.get(key)
             if more is None:
@@ -193,8 +221,10 @@ def train(pages: list[tuple[list[tuple[str, int]], str]], epochs: int = EPOCHS,
     number: dict[str, int] = {}
     seen: dict[str, int] = {}
     data = []
+    counts = Counter(m for lines, _ in pages for m in {masked(line) for line, _ in lines if line.strip()})
+    often = {m: level(n / len(pages)) for m, n in counts.items() if n >= OFTEN * len(pages) and n > 1}
     for lines, title in pages:
-        at, features = page_features([line for line, _ in lines], title)
+        at, features = page_features([line for line, _ in lines], title, often)
         if at:
             data.append((features, np.array([lines[i][1] for i in at])))
             for names in features:
@@ -252,10 +282,10 @@ def trained(pages: int = TRAINING_PAGES) -> Field:
     return train(labelled_pages(pages))
 
 
-def outside_lines(field: Field, text: str | None, title: str | None = None) -> list[int]:
+def outside_lines(field: Field, text: str | None, title: str | None = None, often: dict[str, int] | None = None) -> list[int]:
     """Numbers, from 1, of the non-blank lines that hold nothing of the main body."""
     lines = (text or "").split("\n")
-    at, scores = field.scores(lines, title)
+    at, scores = field.scores(lines, title, often or {})
     if not at:
         return []
     path = field.viterbi(scores)
@@ -268,11 +298,12 @@ def find_boilerplate(df: DataFrame, key: str, title: str | None, texts: list[str
     Lines end at LF and are counted from 1; blank lines are never listed. Null and empty texts have no lines
     and an empty body. Repeated rows give repeated rows. Only the named columns are read.
     """
-    field = df.sparkSession.sparkContext.broadcast(trained(pages))
+    context = df.sparkSession.sparkContext
+    field, often = context.broadcast(trained(pages)), context.broadcast(often_lines(df, texts))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = field.value
+        model, again = field.value, often.value
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -280,7 +311,7 @@ def find_boilerplate(df: DataFrame, key: str, title: str | None, texts: list[str
                 for i, name in enumerate(texts):
                     found, bodies = [], []
                     for text, head in zip(part.column(2 + i).to_pylist(), titles, strict=True):
-                        out = outside_lines(model, text, head)
+                        out = outside_lines(model, text, head, again)
                         gone = set(out)
                         found.append(out)
                         bodies.append("\n".join(line for n, line in enumerate((text or "").split("\n"), 1) if n not in gone))

@@ -1,8 +1,8 @@
 """Labelled pages for the boilerplate model: composed line by line from phrases, each line with its label.
 
-The phrases are in English, German and Chinese. They were written after reading pages of the test tables, whose
-menus, notices and sentences many of them follow, with others of ordinary sites; ``{n}`` is a number, ``{name}`` a product, ``{noun}`` and ``{adj}`` words. A seed and a number of pages fix
-the sample, so every process trains the same model.
+The phrases are in English, German and Chinese and are such as any site has; none was taken from the tables.
+``{n}`` is a number, ``{name}`` a product, ``{noun}`` and ``{adj}`` words. A seed and a number of pages fix the
+sample, so every process trains the same model.
 """
 
 from __future__ import annotations
@@ -13,104 +13,76 @@ BODY, MENU, TEASER, NOTICE = 0, 1, 2, 3
 
 #: Entries of menus, by language.
 MENUS = {
-    "en": "Home Docs Blog Forum Support About Contact Pricing Careers Status Download Login Search Guides Community Changelog Shop News Events Products Partners Register Help Tutorials".split(),
-    "de": "Startseite Doku Blog Forum Hilfe Kontakt Preise Impressum Suche Anmelden Herunterladen Änderungen Karriere Produkte Aktuelles Registrieren Gemeinschaft Anleitungen".split(),
-    "zh": "首页 文档 博客 论坛 支持 关于我们 联系方式 价格 登录 注册 下载 搜索 状态 社区 更新日志 帮助 招聘 新闻 产品".split(),
+    "en": "Home Products Solutions Shop News Events Help Jobs Team Press Services Partners Register Tutorials Gallery Archive Topics Blog Contact Login Account Basket Wiki API Docs Videos Sponsors FAQ Company Legal".split(),
+    "de": "Startseite Produkte Leistungen Aktuelles Termine Hilfe Karriere Presse Kontakt Anmelden Konto Warenkorb Themen Archiv Verein Galerie Mitglieder Shop".split(),
+    "zh": "首页 产品 方案 新闻 活动 帮助 团队 服务 会员 注册 教程 图库 专题 联系我们 登录 商城 视频 招聘 问答 公司".split(),
 }
 #: Headings above links to other pages.
 TEASER_HEADS = {
-    "en": ["Related articles", "You may also like", "Most read", "Popular this week", "Trending", "More from this author", "In this section", "Recommended for you", "Latest posts", "See also on this site", "Next in this series", "Recently updated pages"],
-    "de": ["Verwandte Beiträge", "Mehr zum Thema", "Meistgelesen", "Das könnte Sie auch interessieren", "Neueste Beiträge", "Weitere Artikel"],
-    "zh": ["相关推荐", "猜你喜欢", "热门文章", "本栏目更多", "相关阅读", "最新文章", "大家都在看"],
+    "en": ["Read next", "More stories", "Related posts", "Related content", "Editor's picks", "Recommended reading", "You might be interested in", "Other articles", "What others are reading", "More on this topic", "From our archive", "Hot right now", "Similar questions", "Readers also liked"],
+    "de": ["Lesen Sie auch", "Ähnliche Artikel", "Passend dazu", "Weiterlesen", "Beliebte Themen", "Empfehlungen der Redaktion", "Auch interessant"],
+    "zh": ["推荐阅读", "相关文章", "延伸阅读", "更多内容", "编辑推荐", "热点", "看了又看"],
 }
 #: Consent notices, page tools, counters and footers.
 NOTICES = {
     "en": [
-        "We and our {n} partners use cookies to keep this site running and to learn which {noun} you read. Accept all | Settings",
-        "We value your consent (reference {n}). Necessary only · Allow everything",
-        "Your privacy: {name} places cookies for statistics. Manage choices or reject non-essential ones.",
-        "This website stores small files on your device. By continuing you agree to our use of them.",
-        "Cookies help us deliver {adj} content. Got it",
-        "This site uses cookies. Learn more | Accept",
-        "Enjoying this article? Get {n} more like it every month in your inbox.",
-        "Join {n} readers who follow {name} by mail.",
-        "Sign up for the weekly {noun} digest – no spam, unsubscribe at any time.",
-        "Subscribe to our newsletter", "Get the {noun} digest by mail. No spam, ever.",
-        "Follow us for news about {adj} {noun}",
-        "Sign up for free updates from {name}",
-        "© {year} {name} Project. All rights reserved.",
-        "Copyright {year} the {name} contributors | Built with {name} {v}",
-        "{name} Foundation, P.O. box {n}, registered association",
-        "Unless noted otherwise, content on this site is provided as is; trademarks belong to their owners.",
-        "Terms of use · Privacy · Imprint · Sitemap",
-        "Privacy policy | Terms of service | Cookie settings",
-        "Accessibility statement | Report a problem with this page",
-        "Page rendered in {n} ms · build {v}",
-        "Back to top", "Skip to main content", "Jump to navigation", "Toggle theme", "Toggle navigation", "Loading…", "Advertisement", "Sponsored",
-        "Next page »", "« Previous page", "Previous article", "Next article", "Next: {name} {v}", "Edit on the code host", "Edit this page", "Report this post", "Leave a comment", "Post a comment",
-        "Share this page: Mail | Copy link | Print", "Was this page helpful? Yes No", "You need to enable scripts to view comments.", "Log in  /  Create account", "Language: English ▾",
-        "[Image: banner]", "Viewed {n} times", "{n} min read · {n} comments", "Reply · Quote · Like ({n})", "{n} likes · {n} shares", "Updated by guest-{n} on {day} {month} {year}", "Last edited by user{n} {n} days ago",
-        "Tags: {adj} {noun}, {adj} {noun}", "Filed under: {noun}, {noun}", "Posted in {noun}", "Print this page", "Page {n} of {n}",
+        "We use cookies to personalise content and to analyse our traffic. OK", "By using our website you agree to our cookie policy.", "Cookie preferences: essential, analytics, marketing. Save my choice",
+        "{name} and selected third parties use cookies or similar technologies for technical purposes. Reject all | Agree", "Your choices regarding cookies on this site. Decline · Accept", "We care about your data. Manage {n} vendors",
+        "To give you the best experience, we store and access information on your device. Deny | View preferences", "This page uses tracking for {adj} statistics.",
+        "Get our best {noun} stories delivered to your mailbox every week.", "Stay up to date with {name}: enter your e-mail address", "Over {n} people already read our newsletter.", "Be the first to know about {adj} {noun}s. Sign me up",
+        "Follow {name} on social media", "Like what you see? Subscribe", "Don't miss the next {noun} update", "Support independent writing: donate", "Become a member for more {noun} reports",
+        "Copyright © {year} {name} Ltd. All rights reserved.", "© {year} {name}", "(c) {year}-{year} {name} Inc.", "{name} GmbH, registered office: {n} Station Road, company no. {n}", "{name} is a trademark of its owner.", "All product names are property of their respective holders.",
+        "Powered by {name}", "Proudly hosted by {name} {v}", "Generated in {d}.{d}{d} seconds", "Version {v}, build {n}", "Server time: {day} {month} {year}", "Site map | Legal notice | Data protection", "Legal · Security · Cookies · Brand", "Terms & Conditions", "Privacy notice", "Imprint",
+        "Scroll to top", "Top of page", "Skip navigation", "Open menu", "Close", "Dark mode", "Loading comments...", "Advertisement", "Sponsored content", "Continue reading below",
+        "Older posts", "Newer posts →", "← Back", "Next chapter: {name} {v}", "Improve this page", "View source", "Flag as inappropriate", "Write a reply", "Join the discussion", "Comments are closed.",
+        "Share: Facebook | Mail | Link", "Tweet this", "Print", "Save for later", "Did this answer your question? Yes / No", "Rate this article", "JavaScript is required for this feature.", "Please enable JavaScript to continue.", "My account | Sign out", "Choose your language: English",
+        "[Logo]", "{n} views", "{n} views, {n} replies", "{d} minutes to read · {n} shares", "Upvote ({n}) · Answer", "{n} people found this useful", "Posted by member{n} on {month} {day}, {year}", "Last modified {day} {month} {year} by editor{n}", "Reading time: {d} min",
+        "Keywords: {noun}, {noun}, {adj} {noun}", "Category: {noun}", "Topics: {adj} {noun} · {noun}", "Page {d} / {n}", "{d} of {n} results",
     ],
     "de": [
-        "Diese Seite verwendet Cookies für {n} Dienste. Alle akzeptieren | Nur notwendige",
-        "Mit der Nutzung von {name} stimmen Sie der Speicherung von Cookies zu.",
-        "Jetzt den Rundbrief abonnieren und {n} Beiträge im Monat erhalten",
-        "Folgen Sie {name} für weitere Neuigkeiten",
-        "© {year} {name} e. V. Alle Rechte vorbehalten.",
-        "Impressum · Datenschutz · Barrierefreiheit", "Nutzungsbedingungen | Datenschutz | Kontakt",
-        "Nach oben", "Zum Inhalt springen", "Anzeige", "Kommentar schreiben", "Nächste Seite »", "« Vorherige Seite", "Vorheriger Beitrag", "Weiter: {name} {v}",
-        "Teilen: E-Mail | Drucken", "War diese Seite hilfreich? Ja Nein", "Lesezeit {n} Minuten", "{n} Aufrufe · {n} Kommentare", "Schlagwörter: {adj} {noun}, {adj} {noun}", "Zuletzt geändert von Gast{n} am {day}.{n}.{year}", "Sprache: Deutsch ▾",
+        "Wir verwenden Cookies, um Inhalte zu personalisieren. Ablehnen | Zustimmen", "Um unser Angebot zu verbessern, speichern wir Daten auf Ihrem Gerät.", "Ihre Auswahl zu Cookies und {n} Partnern können Sie jederzeit ändern.",
+        "Newsletter bestellen", "Bleiben Sie mit {name} auf dem Laufenden", "Schon {n} Leserinnen und Leser beziehen unsere Post.", "Copyright {year} {name} GmbH. Alle Rechte vorbehalten.", "© {year} {name}", "Rechtliches | AGB | Datenschutzerklärung", "Impressum",
+        "Zum Seitenanfang", "Navigation überspringen", "Menü öffnen", "Werbung", "Artikel drucken", "Seite {d} von {n}", "Weitersagen: Mail · Link", "Antwort verfassen", "Ältere Beiträge", "Neuere Beiträge →", "{n} Mal gelesen", "{n} Kommentare", "Zuletzt bearbeitet am {day}.{d}.{year} von Mitglied{n}",
+        "Stichwörter: {noun}, {noun}", "Rubrik: {noun}", "Hat Ihnen das geholfen? Ja / Nein", "Bitte aktivieren Sie JavaScript.", "Sprache wählen: Deutsch",
     ],
     "zh": [
-        "本网站使用 Cookie 改善浏览体验，继续访问即表示同意。接受 | 设置",
-        "我们与 {n} 家伙伴共同使用 Cookie 统计访问情况，您可随时修改选择。",
-        "订阅每周简报，第一时间获取{n}条精选内容",
-        "关注 {name} 公众号，回复“资料”领取合集",
-        "扫码下载客户端", "扫码关注我们",
-        "版权所有 © {year} {name} 社区 保留所有权利", "备案编号 {n} 号（示例）", "使用条款 | 隐私政策 | 网站地图 | 联系我们",
-        "返回顶部", "跳到主要内容", "广告", "发表评论", "举报", "下一篇", "上一篇", "下一页 »", "登录 | 注册", "分享到：邮件 复制链接", "本页有帮助吗？ 是 否",
-        "阅读 {n} 分钟", "阅读 {n} · 评论 {n}", "编辑：用户{n} 更新于 {year}-{day}-{day}", "标签：{adj}{noun}，{adj}{noun}", "语言：简体中文 ▾", "加载中…", "点赞 {n} · 收藏 {n}",
+        "我们使用 Cookie 为您提供更好的服务。拒绝 | 同意", "为了统计访问量，本站会在您的设备上保存信息。", "您可以在设置中管理 {n} 项 Cookie。", "订阅我们的邮件，不错过{adj}{noun}", "加入会员，查看更多{noun}报告", "关注我们的微博", "手机扫一扫继续阅读",
+        "Copyright © {year} {name} 有限公司", "© {year} {name} 保留一切权利", "京ICP备{n}号", "公网安备 {n} 号", "法律声明 · 隐私条款 · 网站导航", "隐私政策", "回到顶部", "打开菜单", "推广", "打印本页", "第 {d} 页，共 {n} 页", "收藏 | 转发 | 打印", "写评论", "查看全部评论", "上一章", "下一章 →",
+        "浏览 {n} 次", "{n} 人阅读 · {n} 条回复", "赞同 {n} · 回答", "作者：会员{n} 发布于 {year}年{d}月{day}日", "最后修改：{year}-{d}-{day}", "关键词：{noun}，{noun}", "分类：{noun}", "这篇文章有用吗？有用 / 没用", "请开启 JavaScript。", "选择语言：中文",
     ],
 }
 #: Headings of a main body that speak of the same things as menus and notices do.
 DECOYS = {
-    "en": ["Search", "Login flow", "Privacy of stored queries", "Cookies in the {noun}", "Menu entries", "Contact points", "Status codes", "Download limits of the {noun}", "Forum {noun}", "About {noun}", "Comments in the {noun}", "Terms of the {noun}"],
-    "de": ["Suche im {noun}", "Anmeldung", "Datenschutz der Abfragen", "Cookies im Speicher", "Kontaktpunkte", "Menüeinträge"],
-    "zh": ["登录流程", "搜索", "查询的隐私", "索引中的 Cookie", "菜单项", "联系点", "状态码", "下载限制"],
+    "en": ["Signing in", "How search works", "Cookie handling", "Privacy considerations", "Setting up contact forms", "Download and install", "Navigation", "About this guide", "Getting help with the {noun}", "Status and error codes", "Terms and definitions", "Comments and white space", "Registering a {noun}", "Menus of the {noun}", "Account limits", "Forum software compared"],
+    "de": ["Anmeldung am {noun}", "Wie die Suche arbeitet", "Umgang mit Cookies", "Datenschutz im {noun}", "Kontaktformulare einrichten", "Begriffe", "Hilfe zum {noun}"],
+    "zh": ["如何登录", "搜索的原理", "Cookie 的处理", "隐私方面的考虑", "下载与安装", "术语和定义", "错误码说明", "{noun}的菜单"],
+}
+#: Headings of a main body that come again on page after page.
+SECTIONS = {
+    "en": ["Overview", "Installation", "Requirements", "Background", "Summary", "Results", "Examples", "Known limitations", "Discussion", "Frequently asked questions", "Next steps", "Usage notes", "Method and data", "Open questions", "Further remarks", "Design goals"],
+    "de": ["Überblick", "Voraussetzungen", "Hintergrund", "Ergebnisse", "Beispiele", "Offene Fragen", "Zusammenfassung"],
+    "zh": ["概述", "安装步骤", "系统要求", "背景介绍", "结果", "示例", "已知问题", "小结"],
 }
 SENTENCES = {
     "en": [
-        "If `{code}` is unset, the {noun} {verb}s the {adj} {noun} and the {noun} stays {adj}.",
-        "The {adj} {noun} of {name} was {verb}ed on {day} {month} {year} and has {n} {adj} {noun}s.",
-        "Compared with {name}, the {noun} needs {n}.{d}% fewer {noun}s but {verb}s the {noun} {adv}.",
-        "We {verb}ed {n} {noun}s across {n} {adj} {noun}s and found that {n}.{d}% of them were {verb}ed {adv}.",
-        "Set `{code} = {n}` so that {adj} {noun}s are {verb}ed {adv}.",
-        "It isn't the {noun} that {verb}s {noun}s: they're {verb}ed {adv}, and {name} won't be ready before {day} {month} {year}.",
-        "For {adj} {noun}s, the {noun} {verb}s every {noun}, which is {adv} {verb}ed in the {noun}.",
-        "Why the {noun} {verb}s {noun}s is open: neither the {noun} nor the {adj} {noun} explains the {n}.{d}% gap.",
-        "Reviewers {verb}ed {n} {noun}s; the remaining {noun} {adv} {verb}s {adj} {noun}s.",
-        "During the {day} {month} {year} run, {n} {noun}s were {verb}ed and the {noun} {verb}s the rest.",
+        "Most of the {adj} {noun}s that we saw in {year} came from a single {noun}, and nobody had expected that.", "You can {verb}e the {noun} with `{code}`, but it will not help when the {noun} is already {adj}.", "In {name} {v} the {noun} was rewritten; it now handles {n} {noun}s per second.",
+        "The older {noun} is still there for people who need it.", "After {n} days of testing, {n}.{d} percent of the {noun}s had failed {adv}.", "As a rule, {adj} {noun}s should be kept away from the {noun} because they {verb}e each other.", "When `{code}` is set to {n}, every {noun} waits until the {noun} has finished.",
+        "What does that mean for a {adj} {noun}?", "There are two reasons why {name} does so: the {noun} is {adj}, and its {noun} has to be {verb}ed {adv}.", "On {day} {month} {year} a {adj} {noun} was reported; it turned out that the {noun} had been {verb}ed twice.", "I don't think the {noun} matters much here, since {name} {adv} checks the {noun} anyway.",
+        "Note that the {noun} isn't {adj} by default!", "Their paper compares {n} {noun}s with {name} and finds no difference larger than {d}.{d}%.", "Without a {noun}, the {adj} {noun} cannot be {verb}ed and the run has to be started again.",
     ],
     "de": [
-        "Der {noun} {verb} {adj} {noun}, sofern `{code}` größer als {n} ist, sonst zählt {name} nur {adj} {noun}.",
-        "Seit {year} gilt: Die {noun} {verb} {adj} {noun}, {name} verwirft leere Felder.",
-        "Für {name} {v} wurden {n} Fälle gezählt, davon {n}.{d}% ohne {adj} {noun}.",
-        "Das {noun} prüft alte {noun}, bevor {name} am {year} fremde {noun} übernimmt.",
+        "Die meisten {noun} stammen aus dem Jahr {year}, und damit hatte niemand gerechnet.", "Wer {name} {v} nutzt, sollte `{code}` auf {n} setzen, weil sonst {adj} {noun} entstehen.", "Nach {n} Tagen waren {n},{d} Prozent der {noun} fehlerhaft.", "Warum das so ist, weiß bisher keiner.",
+        "Im Vergleich dazu {verb} {name} die {adj} {noun} nur selten.", "Der {noun} {verb} zuerst {adj} {noun} und danach den Rest.",
     ],
     "zh": [
-        "与 {name} 相比，{noun}少用了 {n}.{d}% 的时间，但{verb}{noun}时更容易遗漏{adj}{noun}。",
-        "如果没有设置 `{code}`，{noun}将{verb}{adj}{noun}，并把{noun}写入{adj}日志。",
-        "我们比较了 {n} 组{noun}，发现{noun}对{adj}{noun}的{verb}结果并不稳定。",
-        "{noun}与{noun}之间只传递{noun}，不传递{adj}{noun}，因此{verb}步骤可以单独重试。",
-        "维护者在 {year} 说明，{noun}不再{verb}{noun}，改由{noun}负责。",
+        "大多数{adj}{noun}来自 {year} 年，这是谁也没有想到的。", "把 `{code}` 设为 {n} 以后，{noun}会等待{noun}完成。", "经过 {n} 天的测试，有 {n}.{d}% 的{noun}出现了错误。", "{name} {v} 重写了{noun}，现在每秒可以处理 {n} 条{noun}。", "这样做有两个原因：一是{noun}太大，二是{noun}需要{verb}。", "那么，{adj}{noun}该怎么办呢？", "需要注意的是，{noun}默认并不会{verb}{noun}。",
     ],
 }
 TITLES = {
-    "en": ["Why the {noun} {verb}s {noun}s", "Notes on the {noun} in {name}", "How {name} {v} {verb}s {adj} {noun}s", "Measuring {adj} {noun}s in {name}", "{name} {v} release notes", "{name}: {adj} {noun} reference", "A {adj} {noun} for {adj} {noun}s", "{Code} in {name} {v}"],
-    "zh": ["{noun}如何{verb}{adj}{noun}", "关于{adj}{noun}的说明", "{name} 的{noun}与{noun}", "{name} {v} 更新说明", "{noun}为什么{verb}{noun}"],
+    "en": ["How to {verb}e a {adj} {noun}", "An introduction to {adj} {noun}s", "What we learned from {n} {noun}s", "The {adj} {noun}", "{name} {v} is here", "Understanding the {noun}", "Ten facts about {noun}s in {name}", "{name}: an overview", "Why {noun}s fail", "{Code} explained", "{noun} versus {noun}: which is better?", "Guide to {name}", "Running {name} {v} with {adj} {noun}s"],
+    "zh": ["怎样{verb}{adj}{noun}", "{noun}入门", "{name} {v} 发布", "理解{noun}", "{adj}{noun}与{noun}的比较", "为什么{noun}会失败", "{name} 使用指南"],
 }
-TITLES["de"] = [*TITLES["en"], "Wie {name} {adj} {noun} {verb}", "Hinweise zum {noun}", "{name} {v}: Versionshinweise"]
+TITLES["de"] = [*TITLES["en"], "Einführung in {adj} {noun}", "{name} {v} ist da", "Was {noun} leisten", "{noun} und {noun} im Vergleich"]
 WORDS = {
     "noun": {
         "en": "index table cursor parser record window shard query field engine buffer packet schema planner lookup vector kernel replica archive segment".split(),
@@ -203,10 +175,11 @@ class PageWriter:
             return [r.choice(["- ", "* ", "• "]) + self.sentences(lang, 1, 1) for _ in range(r.randint(1, 4))]
         if kind < 0.76:
             return ["    " + self.fill("{code} = {n}", "en") for _ in range(r.randint(1, 3))]
-        if kind < 0.84:
+        if kind < 0.82:
             return ["| " + self.fill("{code} | {v} |", "en") for _ in range(r.randint(1, 3))]
-        if kind < 0.9:
-            head = self.fill(r.choice(DECOYS[lang]) if r.random() < 0.6 else "{adj} {noun}" if lang != "zh" else "{adj}{noun}", lang)
+        if kind < 0.92:
+            own = "{adj} {noun}" if lang != "zh" else "{adj}{noun}"
+            head = self.fill(r.choice(r.choices([DECOYS[lang], SECTIONS[lang], [own]], [4, 4, 3])[0]), lang)
             many = " " in head or lang == "zh" and head not in MENUS["zh"]
             return [(r.choice(["## ", "### ", "# ", ""]) if many else "## ") + head]
         return [self.mixed(lang)]

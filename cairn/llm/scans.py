@@ -90,8 +90,9 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
     lines = F.expr(f"flatten(transform(blocks, b -> filter(transform(split(coalesce(b.block_content, ''), '\n'), (x, i) -> {line}), l -> l.text <> '')))")
     placed = pages.select("scan_id", "page_index", lines.alias("lines")).select("scan_id", "page_index", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("at", "line"))
     edge = (F.col("at") < TOP) | (F.col("at") >= F.col("n_lines") - BOTTOM)
-    numbers = F.regexp_replace(F.lower("line.text"), r"[0-9oil|sbzgq]*[0-9][0-9oil|sbzgq]*", "#")
-    mask = F.when(numbers.rlike(r"\p{L}.*\p{L}.*\p{L}") & ~numbers.startswith("<"), F.xxhash64(fold(F.regexp_replace(numbers, r"\s+", " "))))
+    # numbers, and whatever may be misread for one another, are made one
+    words = F.regexp_replace(F.translate(F.lower("line.text"), "0123456789oil|sbzgq\tecftuvnhm", "0000000000000000000 cctfuuuuu"), "0+", "0")
+    mask = F.when(words.rlike(r"\p{L}\P{L}*\p{L}\P{L}*\p{L}") & ~words.startswith("<"), F.xxhash64(F.regexp_replace(words, " +", " ")))
     masked = placed.select("scan_id", "page_index", F.col("line.block_id").alias("block_id"), F.col("line.line_no").alias("line_no"), edge.alias("edge"), mask.alias("mask")).where("mask IS NOT NULL")
     by_page = masked.groupBy("scan_id", "mask", "page_index").agg(F.count("*").alias("n"), F.count_if("edge").alias("n_edge"))
     by_scan = by_page.groupBy("scan_id", "mask").agg(F.sum("n").alias("n_all"), F.sum("n_edge").alias("n_edge"), F.count_if(F.col("n_edge") > 0).alias("n_pages"))
@@ -110,6 +111,8 @@ def page_lines(blocks: list[dict], furniture: set[tuple[int, int]] = frozenset()
     split = [(b["block_content"] or "").split("\n") for b in blocks]
     rows, flow = [], []
     places = [(i, j) for i, lines in enumerate(split) for j in range(len(lines)) if lines[j].strip()]
+    if all((blocks[i]["block_id"], j + 1) in furniture for i, j in places):
+        furniture = frozenset()  # a page that repeats as a whole is no furniture
     for i, j in places:
         line, lines = split[i][j], split[i]
         edge = (i, j) in (places[0], places[-1])
