@@ -102,7 +102,7 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
     # as every page has few edge lines, so large a share of all scans leaves room for a bounded number of stamps
     stamps = often.where((F.col("n_scans") >= max(STAMP_SCANS, STAMP_SHARE * scans)) & (F.col("n_edge") >= STAMP_EDGE * F.col("n_all"))).select("mask", F.lit(True).alias("stamp"))
     known = by_scan.join(F.broadcast(stamps), "mask", "left").where("n_pages > 1 OR stamp").select("scan_id", "mask", F.col("n_edge").alias("n"))
-    found = skew.join_counted(masked.where("edge").drop("edge"), checkpointed(known), ["scan_id", "mask"])
+    found = skew.join_counted(masked.where("edge").drop("edge"), known, ["scan_id", "mask"])
     return found.groupBy("scan_id", "page_index").agg(F.collect_set(F.struct("block_id", "line_no")).alias("furniture"))
 
 
@@ -336,7 +336,6 @@ def divided_words(parts: dict[str, DataFrame]) -> DataFrame:
     """The divided words with ``word``, the whole correct word, and ``broken``: false for a compound's own hyphen."""
     best = _best(parts["candidates"], "word")
     known = parts["lexicon"].select("word", "n").join(best, "word", "full").select("word", F.coalesce("fixed", "word").alias("fixed"), F.coalesce("n_fixed", "n").alias("weight"), F.coalesce("n", F.lit(0)).alias("n"))
-    known = checkpointed(known)
     out = parts["divided"]
     for form in ("joined", "hyphened"):
         out = out.join(known.select(F.col("word").alias(form), F.col("fixed").alias(f"{form}_fixed"), F.col("weight").alias(f"{form}_weight")), form, "left")
@@ -360,7 +359,7 @@ def repairs_found(blocks: DataFrame) -> DataFrame:
     lines = parts["lines"]
     empty = F.lit("").alias("word")
     furniture = lines.where("kind = 'furniture'").select(*key, F.lit("furniture").alias("kind"), empty)
-    divided = divided_words(parts)
+    divided = checkpointed(divided_words(parts))
     broken = divided.where("broken").select(*key, F.lit("broken_word").alias("kind"), "word")
     whole = F.when(F.col("broken"), F.col("joined")).otherwise(F.col("hyphened"))
     wrong = divided.withColumn("read", whole).where("read <> word")
@@ -384,7 +383,7 @@ def _repaired_pages(parts: dict[str, DataFrame]) -> DataFrame:
     """(scan_id, page_index, pieces): the body of each page as pieces of text, repaired, with an open end where a paragraph goes on."""
     key = ["scan_id", "page_index", "block_id", "line_no"]
     words = misread_words(parts).select(*key, F.struct(F.lit("word").alias("kind"), F.col("word").alias("a"), F.col("fixed").alias("b")).alias("fix"))
-    divided = divided_words(parts)
+    divided = checkpointed(divided_words(parts))
     whole = F.when(F.col("broken"), F.col("joined")).otherwise(F.col("hyphened"))
     ends = divided.select(*key, F.struct(F.when(F.col("broken"), "joined").otherwise("kept").alias("kind"), whole.alias("a"), F.col("word").alias("b")).alias("fix"))
     rests = divided.select("scan_id", F.col("right_page").alias("page_index"), F.col("right_block").alias("block_id"), F.col("right_line").alias("line_no"), F.struct(F.lit("rest").alias("kind"), F.col("right").alias("a"), F.lit("").alias("b")).alias("fix"))
