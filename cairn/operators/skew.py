@@ -1,4 +1,4 @@
-"""Joins on keys of which some may hold a large part of all rows."""
+"""Work spread evenly: joins on keys of which some hold a large part of all rows, and small tables in few files."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A table up to this size may be dealt out over the cores, in bytes as Spark estimates it.
+SMALL = 256 << 20
 #: A key is hot if it has more than this part of all counted rows, so there are never more hot keys than this.
 PARTS = 1000
 
@@ -42,3 +44,13 @@ def join_counted(df: DataFrame, counted: DataFrame, keys: list[str], how: str =
         return df.join(counted, keys, how)
     other = counted.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return salted(df, keys, hot).join(other, [*keys, "__salt"], how).drop("__salt")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, a scan without shuffles, dealt out over the cores before costly Python if it is small and lies in fewer files than there are cores.
+
+    A large table is never shuffled for it; its files and row groups are many.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL and 0 < len(df.inputFiles()) < cores else df

@@ -15,12 +15,11 @@ from cairn.sources.tables import table
 
 def _best_documents(spark: SparkSession, folder: str, prompts: DataFrame) -> DataFrame:
     terms = prompts.select("case_id", F.explode(text.query_terms(F.col("query"))).alias("term")).distinct()
-    counts = ranking.term_counts(table(spark, folder, "documents"), "doc_id", "text", terms.select("term").distinct())
-    return ranking.bm25_topk(terms, "case_id", "term", counts, "doc_id")
+    return ranking.bm25_topk(table(spark, folder, "documents"), "doc_id", "text", terms, "case_id", "term")
 
 
 @query(
-    f"""WITH q AS (SELECT DISTINCT case_id, unnest({TERMS_SQL}) AS term FROM eval_prompts WHERE category IN ('policy_change', 'api_default')),
+    f"""WITH q AS (SELECT DISTINCT case_id, unnest({TERMS_SQL}) AS term FROM eval_prompts),
 d AS (SELECT doc_id, lower(text) AS t, greatest(len(regexp_extract_all(text, '[^\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]+')), 1) AS n FROM documents WHERE text IS NOT NULL),
 m AS (SELECT count(*) AS docs, greatest(avg(n), 1.0) AS mean FROM d), w AS (SELECT DISTINCT term FROM q),
 c AS (SELECT doc_id, n, term, CAST((length(t) - length(replace(t, term, ''))) / length(term) AS BIGINT) AS tf FROM d, w WHERE contains(t, term)),
@@ -31,12 +30,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(raw, 9) D
 SELECT case_id, doc_id, place, round(raw / peak, 6) AS score FROM r WHERE place <= 10"""
 )
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten best documents for each test query of two categories, over the whole corpus; :func:`bm25_all_topk` has all categories."""
-    return _best_documents(spark, folder, table(spark, folder, "eval_prompts").where(F.col("category").isin("policy_change", "api_default")))
-
-
-@query()
-def bm25_all_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents for every test query, over the whole corpus."""
     return _best_documents(spark, folder, table(spark, folder, "eval_prompts"))
 
@@ -45,7 +38,7 @@ def bm25_all_topk(spark: SparkSession, folder: str) -> DataFrame:
     PARTS_SQL.replace("SELECT DISTINCT source_id, url,", "SELECT DISTINCT source_id, task_id, authority, url,")
     + f""", ids AS (SELECT task_id, authority, source_id, {IDENTITY_SQL} AS identity FROM e WHERE task_id IS NOT NULL AND authority IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY task_id, authority ORDER BY source_id) AS place FROM ids WHERE identity <> ''),
-best AS (SELECT task_id, identity, authority, min(place) AS place FROM ranked WHERE place <= 48 GROUP BY 1, 2, 3),
+best AS (SELECT task_id, identity, authority, min(place) AS place FROM ranked GROUP BY 1, 2, 3),
 scored AS (SELECT task_id, identity, round(sum(1.0::DOUBLE / (60 + place)), 9) AS score, count(*) AS n_streams, min(place) AS best_rank FROM best GROUP BY 1, 2),
 fused AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, n_streams DESC, best_rank, identity DESC) AS fused_rank FROM scored)
 SELECT task_id, identity, score, n_streams, best_rank, fused_rank FROM fused WHERE fused_rank <= 48"""
