@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from cairn.functions import html, passages
+from cairn.operators import skew
 
 
 def each_text(df: DataFrame, columns: list[str], function: Callable[..., list[dict]], schema: str) -> DataFrame:
@@ -36,7 +37,7 @@ def each_text(df: DataFrame, columns: list[str], function: Callable[..., list[di
                         out.append(row)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which, pa.int64())), pa.array(place, pa.int32()), pa.array(out, arrow)], ["row", "place", "out"])
 
-    done = rows.mapInArrow(run, f"row {kind}, place int, out {made.simpleString()}")
+    done = skew.dealt(rows).mapInArrow(run, f"row {kind}, place int, out {made.simpleString()}")
     return done.select(*[F.col("row").getField(c).alias(c) for c in rest], "place", *[F.col("out").getField(n).alias(n) for n in made.names])
 
 

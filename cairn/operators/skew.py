@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +48,12 @@ def join_counted(df: DataFrame, counted: DataFrame, keys: list[str], how: str =
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """``df``, a scan without shuffles, dealt out over the cores before costly Python if it is small and lies in fewer files than there are cores.
+    """``df`` dealt out over the cores before costly Python if it is no more than a scan of a small table in fewer files than there are cores.
 
-    A large table is never shuffled for it; its files and row groups are many.
+    A large table is never shuffled for it (its files and row groups are many), and neither is what was shuffled anyway.
     """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    shuffled = re.search("Join|Aggregate|Repartition|Window|Sort|LogicalRDD", plan.toString())
+    small = int(str(plan.stats().sizeInBytes())) <= SMALL
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= SMALL and 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if small and not shuffled and 0 < len(df.inputFiles()) < cores else df

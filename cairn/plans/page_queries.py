@@ -51,12 +51,18 @@ def quote_grounding(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def html_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks of HTML as Markdown."""
-    rows = table(spark, folder, "page_blocks").where("block_content LIKE '<%'").select("scan_id", "page_index", "block_id", "block_content", F.lit("").alias("base")).distinct()
-    return passages.page_rows(rows, "block_content", "base").drop("links", "place")
+    """Pages as Markdown: the blocks of scans that are HTML, and every retrieved page set into HTML with navigation around its text."""
+    blocks = table(spark, folder, "page_blocks").where("block_content LIKE '<%'").select(F.concat_ws("/", "scan_id", "page_index", "block_id").alias("page_id"), F.col("block_content").alias("html"), F.lit("").alias("base"))
+    text = F.replace(F.replace(F.coalesce("content", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    paragraphs = F.array_join(F.transform(F.split(text, "\n"), lambda line: F.concat(F.lit("<p>"), line, F.lit("</p>"))), "")
+    page = F.concat(F.lit("<html><body><nav><a href='/'>Home</a></nav><main><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1>"), paragraphs, F.lit("</main><footer>Imprint</footer></body></html>"))
+    pages = table(spark, folder, "sources").select(F.col("source_id").alias("page_id"), page.alias("html"), F.coalesce("url", F.lit("")).alias("base"))
+    return passages.page_rows(blocks.unionByName(pages).distinct(), "html", "base").drop("links", "place")
 
 
 @query()
 def clean_page_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """Every page excerpt without navigation lines, by rules."""
-    return passages.cleaned_rows(table(spark, folder, "evidence_items").select("item_id", "page_excerpt").distinct(), "page_excerpt").drop("place")
+    """Both excerpts of every item without navigation lines, by rules."""
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("excerpt")) for c in ("page_excerpt", "source_excerpt")])).alias("f")
+    rows = table(spark, folder, "evidence_items").select("item_id", fields).select("item_id", "f.*").distinct()
+    return passages.cleaned_rows(rows, "excerpt").drop("place")

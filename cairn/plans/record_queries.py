@@ -40,14 +40,15 @@ def date_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    r"""WITH r AS (SELECT DISTINCT source_id, url, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(content, '')), '[\p{L}\p{N}_]+')))[1:24], ' ') AS signature FROM sources)
-SELECT signature, count(*) AS n_sources, count(DISTINCT url) AS n_urls FROM r WHERE signature <> '' GROUP BY signature HAVING count(DISTINCT url) > 1"""
+    r"""WITH r AS (SELECT doc_id, host, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'))) AS words FROM documents)
+SELECT md5(array_to_string(words, ' ')) AS signature, len(words) AS n_words, count(*) AS n_documents, count(DISTINCT host) AS n_hosts FROM r WHERE len(words) > 0 GROUP BY 1, 2 HAVING count(*) > 1"""
 )
 def repeated_signatures(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts that several URLs state in the same words: the first 24 words in order of the alphabet."""
-    signature = F.array_join(F.slice(F.array_sort(F.array_distinct(text.words(F.col("content")))), 1, 24), " ")
-    rows = table(spark, folder, "sources").select("source_id", "url", signature.alias("signature")).distinct().where("signature <> ''")
-    return rows.groupBy("signature").agg(F.count("*").alias("n_sources"), F.countDistinct("url").alias("n_urls")).where("n_urls > 1")
+    """Documents that state the same in the same words: their distinct words in order of the alphabet."""
+    words = F.array_sort(F.array_distinct(text.words(F.col("text"))))
+    rows = table(spark, folder, "documents").select("host", words.alias("words")).where(F.size("words") > 0)
+    rows = rows.select("host", F.md5(F.array_join("words", " ").cast("binary")).alias("signature"), F.size("words").alias("n_words"))
+    return rows.groupBy("signature", "n_words").agg(F.count("*").alias("n_documents"), F.countDistinct("host").alias("n_hosts")).where("n_documents > 1")
 
 
 @query("""SELECT case_id, category FROM eval_prompts ORDER BY md5(case_id || ':7'), case_id LIMIT 40""")

@@ -100,15 +100,16 @@ def overlap_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    r"""WITH q AS (SELECT DISTINCT source_id, lower(coalesce(title, '')) AS t, lower(coalesce(content, '')) AS s, lower(coalesce(url, '')) AS u, authority FROM sources), k AS (SELECT unnest(['token', 'snapshot', 'release']) AS term)
-SELECT source_id, CAST(round(sum(CASE WHEN contains(t, term) THEN 4.0 ELSE 0 END + CASE WHEN contains(s, term) THEN 1.0 ELSE 0 END + CASE WHEN contains(u, term) THEN 1.5 ELSE 0 END) + max(CASE WHEN authority = 'official' THEN 1.5 ELSE 0 END), 4) AS DOUBLE) AS score FROM q, k GROUP BY source_id"""
+    rf"""WITH p AS (SELECT DISTINCT s.source_id, lower(coalesce(s.title, '')) AS ti, lower(coalesce(s.content, '')) AS co, lower(coalesce(s.url, '')) AS ur, s.authority, t.content.goal AS query FROM sources s JOIN training_tasks t USING (task_id)), k AS (SELECT *, {TERMS_SQL} AS terms FROM p)
+SELECT DISTINCT source_id, round(coalesce(list_sum(list_transform(terms, lambda x: CASE WHEN contains(ti, x) THEN 4.0 ELSE 0 END + CASE WHEN contains(co, x) THEN 1.0 ELSE 0 END + CASE WHEN contains(ur, x) THEN 1.5 ELSE 0 END)), 0) + CASE WHEN authority = 'official' THEN 1.5 ELSE 0 END, 4)::DOUBLE AS score FROM k"""
 )
 def candidate_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Weighted term hits in title, content and URL of each page."""
-    rows = table(spark, folder, "sources").select("source_id", "title", "content", "url", "authority").distinct()
-    hit = lambda c, w, term: F.when(F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(term)), w).otherwise(0.0)
-    score = sum((hit(F.col(c), w, term) for term in ("token", "snapshot", "release") for c, w in (("title", 4.0), ("content", 1.0), ("url", 1.5))), F.when(F.col("authority") == "official", 1.5).otherwise(0.0))
-    return rows.select("source_id", F.round(score, 4).alias("score")).distinct()
+    """Weighted hits of the terms of its task's goal in title, content and URL of each page."""
+    goals = table(spark, folder, "training_tasks").select("task_id", text.query_terms(F.col("content.goal")).alias("terms"))
+    rows = table(spark, folder, "sources").select("source_id", "task_id", "authority", *[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "content", "url")]).join(goals, "task_id")
+    hit = lambda c, w, term: F.when(F.contains(F.col(c), term), w).otherwise(0.0)
+    hits = F.aggregate("terms", F.lit(0.0), lambda s, x: s + hit("title", 4.0, x) + hit("content", 1.0, x) + hit("url", 1.5, x))
+    return rows.select("source_id", F.round(hits + F.when(F.col("authority") == "official", 1.5).otherwise(0.0), 4).alias("score")).distinct()
 
 
 @query(
