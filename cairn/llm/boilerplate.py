@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.labelled_pages import BODY, labelled_pages
+from cairn.operators import skew
 
 STATES = 4
 #: Labelled pages of the training sample.
@@ -318,7 +319,7 @@ def find_boilerplate(df: DataFrame, key: str, title: str | None, texts: list[str
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name] * len(found)), pa.array(found, pa.list_(pa.int32())), pa.array(bodies)], ["key", "field", "lines", "body"])
 
     rows = df.select(F.col(key).alias("key"), (F.col(title) if title else F.lit(None).cast("string")).alias("title"), *[F.col(c).alias(f"text_{i}") for i, c in enumerate(texts)])
-    return rows.mapInArrow(run, f"key {kind}, field string, lines array<int>, body string").withColumnRenamed("key", key)
+    return skew.dealt(rows).mapInArrow(run, f"key {kind}, field string, lines array<int>, body string").withColumnRenamed("key", key)
 
 
 def boilerplate_lines(found: DataFrame, key: str) -> DataFrame:

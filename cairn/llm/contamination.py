@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import textarrays as ta
 from cairn.llm.tokenizer import spread
+from cairn.operators import skew
 
 WINDOW = 13
 RUN = 5
@@ -261,7 +262,7 @@ def _find(corpus: DataFrame, record_id: str, text: str, cases: DataFrame, case_i
             )
 
     records = corpus.select(F.col(record_id).cast("string").alias("record_id"), F.col(text).alias("text")).where("record_id IS NOT NULL AND text IS NOT NULL")
-    return records.mapInArrow(search, SCHEMA).dropDuplicates(["record_id", "case_id"])
+    return skew.dealt(records).mapInArrow(search, SCHEMA).dropDuplicates(["record_id", "case_id"])
 
 
 def without_leaks(corpus: DataFrame, record_id: str, leaks: DataFrame) -> DataFrame:

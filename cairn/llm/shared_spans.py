@@ -219,6 +219,7 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, phras
     out; repeated rows count once, as one record. Only the two columns are read.
     """
     rows = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= length))
+    rows = skew.dealt(rows)
     kind = rows.schema["doc"].dataType.simpleString()
     named = rows.mapInArrow(_block_rows(length, phrase), f"doc {kind}, phrase bigint, signature bigint, lo int, hi int, at int")
     recurring = checkpointed(named.groupBy("phrase").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a <> b").select("phrase", "n"))

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textarrays as ta
-from cairn.llm.tokenizer import DEFAULT_VOCABULARY, vocabulary
+from cairn.llm.tokenizer import DEFAULT_VOCABULARY, BytePairVocabulary, shipped
+from cairn.operators import skew
 
 #: Marks that end a sentence or clause.
 STOPS = ".!?;。！？；"
@@ -109,9 +110,8 @@ def pieces(b: Boundaries, sums: np.ndarray, limit: int, overlap: int) -> Iterato
         start, done = (int(b.lines[first]) if lines else cut), cut
 
 
-def token_sums(text: str, path: str) -> np.ndarray:
-    """Number of ids of the vocabulary at ``path`` that begin before each character, with the total at the end."""
-    table = vocabulary(path)
+def token_sums(text: str, table: BytePairVocabulary) -> np.ndarray:
+    """Number of ids of the vocabulary that begin before each character, with the total at the end."""
     ids, _ = table.encode([text])
     points = ta.code_points(text)
     width = 1 + (points >= 0x80) + (points >= 0x800).astype(np.int64) + (points >= 0x10000)
@@ -134,6 +134,7 @@ def split_texts(df: DataFrame, key: str, text: str, limit: str, overlap: str, un
     is 0. Repeated rows are repeated in the result. Only the named columns are read.
     """
     kind = df.schema[key].dataType.simpleString()
+    get = shipped(df, path) if unit == "tokens" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in ta.chunks(batches, "text"):
@@ -144,7 +145,7 @@ def split_texts(df: DataFrame, key: str, text: str, limit: str, overlap: str, un
                     continue
                 value = _newline.sub("\n", value)
                 most = most if most and most > 0 else None
-                sums = token_sums(value, path) if unit == "tokens" else np.arange(len(value) + 1)
+                sums = token_sums(value, get()) if unit == "tokens" else np.arange(len(value) + 1)
                 if most is None or (sums[-1] <= most and len(value) <= most):
                     cuts, flags = [(0, len(value), 0, "end")], (False, False, False)
                 else:
@@ -157,7 +158,7 @@ def split_texts(df: DataFrame, key: str, text: str, limit: str, overlap: str, un
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "oversized", "long_line", "long_run", "pieces"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(limit).cast("bigint").alias("limit"), F.col(overlap).cast("bigint").alias("overlap"))
-    out = rows.mapInArrow(run, f"key {kind}, oversized boolean, long_line boolean, long_run boolean, pieces array<{PIECE}>")
+    out = skew.dealt(rows).mapInArrow(run, f"key {kind}, oversized boolean, long_line boolean, long_run boolean, pieces array<{PIECE}>")
     return out.withColumnRenamed("key", key)
 
 

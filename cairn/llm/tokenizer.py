@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import textarrays as ta
+from cairn.operators import skew
 
 #: Where the public vocabularies lie; any path of a file of the same format can be given instead.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -325,7 +326,7 @@ def vocabulary(path: str) -> BytePairVocabulary:
 _read: dict[str, BytePairVocabulary] = {}
 
 
-def _shipped(df: DataFrame, path: str) -> Callable[[], BytePairVocabulary]:
+def shipped(df: DataFrame, path: str) -> Callable[[], BytePairVocabulary]:
     """What gives a task the vocabulary at ``path``, which is broadcast and read once by each worker."""
     content = Path(path).read_bytes()
     sent, name = df.sparkSession.sparkContext.broadcast(content), hashlib.sha256(content).hexdigest()
@@ -347,7 +348,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = DEFAULT_VOCABUL
     so none can clash.
     """
     kind = df.schema[key].dataType.simpleString()
-    get = _shipped(df, path)
+    get = shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = get()
@@ -357,7 +358,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = DEFAULT_VOCABUL
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["key", "ids"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids")
+    return skew.dealt(rows).mapInArrow(run, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids")
 
 
 def count_tokens(df: DataFrame, text: str, into: str = "n_tokens", path: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -365,7 +366,7 @@ def count_tokens(df: DataFrame, text: str, into: str = "n_tokens", path: str = D
     rest = [c for c in df.columns if c != text]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    get = _shipped(df, path)
+    get = shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = get()
@@ -373,7 +374,7 @@ def count_tokens(df: DataFrame, text: str, into: str = "n_tokens", path: str = D
             _, counts = table.encode([t or "" for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts)], ["row", "n"])
 
-    out = rows.mapInArrow(run, f"row {kind}, n bigint")
+    out = skew.dealt(rows).mapInArrow(run, f"row {kind}, n bigint")
     return out.select(*[F.col("row").getField(c).alias(c) for c in rest], F.col("n").alias(into))
 
 
