@@ -41,4 +41,13 @@ def flatten_metrics(df: DataFrame, group: Column, metrics: dict[str, str]) -> Da
 
 def blind_label(key: Column, seed: int) -> Column:
     """'A' or 'B' by a hash of key and seed."""
-    return F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2)) == 0, "A").otherwise("B")
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
+    return F.when(F.ascii(F.substring(digest, 1, 1)) % 2 == 0, "A").otherwise("B")
+
+
+def blind_packet(base: DataFrame, new: DataFrame, key: str, answer: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(key, a_answer, b_answer) of the cases of both runs, in seeded order, and the key table (key, a_variant, b_variant) that is kept apart."""
+    both = base.select(key, F.col(answer).alias("__base")).join(new.select(key, F.col(answer).alias("__new")), key).withColumn("__first", blind_label(F.col(key), seed) == "A")
+    pick = lambda x, y: F.when(F.col("__first"), x).otherwise(y)
+    packet = both.select(key, pick(F.col("__base"), F.col("__new")).alias("a_answer"), pick(F.col("__new"), F.col("__base")).alias("b_answer"))
+    return packet, both.select(key, pick(F.lit("baseline"), F.lit("candidate")).alias("a_variant"), pick(F.lit("candidate"), F.lit("baseline")).alias("b_variant"))

@@ -82,7 +82,18 @@ def reference_status(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(F.coalesce("s", F.lit("missing")).alias("status")).agg(F.count("*").alias("n"), F.countDistinct("r").alias("reviewers"), F.bool_and(F.col("s") == "ready").alias("all_ready"))
 
 
-@query()
+@query("SELECT question_id, CASE WHEN ascii(substr(sha256('7:' || question_id), 1, 1)) % 2 = 0 THEN 'A' ELSE 'B' END AS first FROM eval_cases")
 def blind_order(spark: SparkSession, folder: str) -> DataFrame:
     """A seeded A/B order of each question; the same for every run."""
     return table(spark, folder, "eval_cases").select("question_id", evaluation.blind_label(F.col("question_id"), 7).alias("first"))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT question_id, question, persona, ascii(substr(sha256('11:' || question_id), 1, 1)) % 2 = 0 AS f FROM eval_cases)
+SELECT question_id, CASE WHEN f THEN question ELSE persona END AS a_answer, CASE WHEN f THEN persona ELSE question END AS b_answer, CASE WHEN f THEN 'baseline' ELSE 'candidate' END AS a_variant, CASE WHEN f THEN 'candidate' ELSE 'baseline' END AS b_variant FROM c"""
+)
+def blind_packets(spark: SparkSession, folder: str) -> DataFrame:
+    """Blind packets with their key: a case's question and persona stand for the answers of two runs."""
+    rows = table(spark, folder, "eval_cases").select("question_id", "question", "persona").distinct()
+    packet, keys = evaluation.blind_packet(rows.select("question_id", F.col("question").alias("answer")), rows.select("question_id", F.col("persona").alias("answer")), "question_id", "answer", 11)
+    return packet.join(keys, "question_id")

@@ -22,7 +22,13 @@ def chunk_semantic(spark: SparkSession, folder: str) -> DataFrame:
     return passages.chunk_rows(table(spark, folder, "documents").select("doc_id", "text"), "text", limit=200)
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE d AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents WHERE coalesce(text, '') <> ''), s AS (SELECT doc_id, regexp_extract_all(t, '[^\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]*[\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]|[^\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]+$') AS ls FROM d),
+z AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS x FROM s),
+c AS (SELECT doc_id, i, i AS first, length(x) AS size FROM z WHERE i = 1 UNION ALL SELECT z.doc_id, z.i, CASE WHEN c.size + length(z.x) > 2000 THEN z.i ELSE c.first END, CASE WHEN c.size + length(z.x) > 2000 THEN length(z.x) ELSE c.size + length(z.x) END FROM c JOIN z ON z.doc_id = c.doc_id AND z.i = c.i + 1),
+g AS (SELECT doc_id, first AS a, max(i) AS b FROM c GROUP BY 1, 2), o AS (SELECT *, row_number() OVER w - 1 AS place, lag(a) OVER w AS before FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY a)), f AS (SELECT doc_id, place, CASE WHEN before IS NULL THEN a ELSE greatest(before, a - 2) END AS first_line, b AS last_line FROM o)
+SELECT f.doc_id, f.place, f.first_line, f.last_line, string_agg(z.x, '' ORDER BY z.i) AS chunk, CAST(NULL AS VARCHAR) AS problem FROM f JOIN z ON z.doc_id = f.doc_id AND z.i BETWEEN f.first_line AND f.last_line GROUP BY 1, 2, 3, 4"""
+)
 def chunk_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in chunks of lines, with two lines of overlap."""
     return passages.line_chunk_rows(table(spark, folder, "documents").select("doc_id", "text"), "text", 2000, 2)

@@ -70,7 +70,7 @@ def frozen_paths(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     r"""WITH h AS (SELECT task_group_id, task_id, snapshot_time, content.goal AS goal, instruction, row_number() OVER (PARTITION BY task_group_id ORDER BY snapshot_time DESC NULLS LAST, task_id DESC) AS back FROM training_tasks WHERE task_group_id IS NOT NULL),
 q AS (SELECT task_group_id, 2 * (8 - back) + 1 AS pos, goal AS q FROM h WHERE back <= 8 UNION ALL SELECT task_group_id, 2 * (8 - back) + 2, instruction FROM h WHERE back <= 8),
-c AS (SELECT task_group_id, pos, trim(regexp_replace(coalesce(q, ''), '[\s\p{Z}]+', ' ', 'g')) AS q FROM q), f AS (SELECT task_group_id, lower(q) AS k, min(at) AS pos, arg_min(q, at) AS q FROM c WHERE q <> '' GROUP BY 1, 2)
+c AS (SELECT task_group_id, pos, trim(regexp_replace(coalesce(q, ''), '[\s\p{Z}]+', ' ', 'g')) AS q FROM q), f AS (SELECT task_group_id, lower(q) AS k, min(pos) AS pos, arg_min(q, pos) AS q FROM c WHERE q <> '' GROUP BY 1, 2)
 SELECT task_group_id, md5(q) AS digest, row_number() OVER (PARTITION BY task_group_id ORDER BY pos) AS place FROM f"""
 )
 def recent_queries(spark: SparkSession, folder: str) -> DataFrame:
