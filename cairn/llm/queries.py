@@ -124,5 +124,14 @@ UNION SELECT DISTINCT text_id, 'long_run' FROM k WHERE run > max_chars
 """
 
 
+#: Hashes of all windows of 320 characters, cut from pieces of the texts; windows of two documents, and the stretches they make.
+P8_SPANS = """d AS (SELECT DISTINCT doc_id, text, length(text) AS n FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 320), b AS (SELECT doc_id, n, text, unnest(range(0, n - 319, 500)) AS at0 FROM d),
+p AS (SELECT doc_id, n, at0, substr(text, CAST(at0 AS INT) + 1, 819) AS piece FROM b), w AS (SELECT doc_id, at0, piece, unnest(range(0, least(500, n - 319 - at0))) AS i FROM p), h AS (SELECT doc_id, at0 + i AS s, hash(substr(piece, CAST(i AS INT) + 1, 320)) AS h FROM w),
+g AS (SELECT h FROM h GROUP BY h HAVING min(doc_id) <> max(doc_id)), r AS (SELECT DISTINCT doc_id, s FROM h JOIN g USING (h)), f AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER w + 320 THEN 0 ELSE 1 END AS fresh FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+k AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS part FROM f), spans AS (SELECT doc_id, min(s) AS start_char, max(s) + 320 AS end_char FROM k GROUP BY doc_id, part)"""
+P8_SHARE_SQL = f"""WITH {P8_SPANS}, o AS (SELECT doc_id, CAST(sum(end_char - start_char) AS BIGINT) AS shared_chars FROM spans GROUP BY 1)
+SELECT c.doc_id, coalesce(length(c.text), 0) AS n_chars, coalesce(o.shared_chars, 0) AS shared_chars, CASE WHEN coalesce(length(c.text), 0) > 0 THEN coalesce(o.shared_chars, 0) / length(c.text) END AS share FROM documents c LEFT JOIN o USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL}
+    return {"p4_found": P4_SQL, "p8_found": f"WITH {P8_SPANS} SELECT doc_id, start_char, end_char FROM spans", "p8_share": P8_SHARE_SQL}
