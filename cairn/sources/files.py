@@ -76,6 +76,18 @@ def read_prompts(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(id, answer, status) of a file of runs: JSON with the rows under ``results`` or ``cases``, or JSON lines.
+
+    The id is the first non-empty of id, benchmark_id and case_id, the answer that of answer and final_output, else ''.
+    """
+    raw = spark.read.option("multiLine", str(not path.endswith((".jsonl", ".ndjson"))).lower()).option("mode", "DROPMALFORMED").json(path)
+    name = next((n for n in ("results", "cases") if n in raw.columns), None)
+    rows = raw.where(F.col(name).isNotNull()).select(F.explode(name).alias("r")).select("r.*") if name else raw
+    first = lambda *names: F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in rows.columns], F.lit(None).cast("string"))
+    return rows.select(first("id", "benchmark_id", "case_id").alias("id"), F.coalesce(first("answer", "final_output"), F.lit("")).alias("answer"), first("status").alias("status"))
+
+
 def append_new(df: DataFrame, path: str, key: str) -> None:
     """Adds rows to a JSON-lines dataset; ValueError if one of their keys is null, repeated or already there."""
     spark = df.sparkSession
@@ -106,3 +118,16 @@ def export_lanes(lanes: dict[str, DataFrame], path: str) -> DataFrame:
         manifest = one if manifest is None else manifest.unionByName(one)
     manifest.write.mode("overwrite").json(f"{path}/manifest")
     return manifest
+
+
+def export_audit(df: DataFrame, key: str, path: str) -> DataFrame:
+    """Writes a folder of JSON for each key below ``path`` and returns (and writes) the index: key, rows, content hash, in no order.
+
+    Rows are brought together by key before they are written, so that a key's rows lie in few files. Null keys are left out.
+    """
+    rows = df.where(F.col(key).isNotNull())
+    rows.withColumn("part", F.col(key)).repartition("part").write.mode("overwrite").partitionBy("part").json(f"{path}/cases")
+    part = F.conv(F.substring(F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])), 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    index = rows.groupBy(key).agg(F.count("*").alias("rows"), F.sum(part).cast("string").alias("content_hash"))
+    index.write.mode("overwrite").json(f"{path}/index")
+    return index

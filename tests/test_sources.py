@@ -94,3 +94,19 @@ def test_streams(spark, tmp_path):
     assert len(run(S.first_seen(stream(), "ts", ["seq"], "2 hours"), "append", "fresh")) == 30
     windows = run(S.throughput(stream(), "ts", "kind", "seq", late="2 hours"), "complete", "windows")
     assert max(r["n"] for r in windows) == 11
+
+
+def test_runs_of_three_layouts(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"results": [{"id": "1", "answer": "x", "status": "completed"}, {"benchmark_id": "2", "final_output": "y"}]}))
+    (tmp_path / "b.json").write_text(json.dumps({"cases": [{"case_id": "3", "answer": ""}]}))
+    (tmp_path / "c.jsonl").write_text('{"id": "4", "answer": "z"}\nbroken\n')
+    got = {tuple(r) for n in ("a.json", "b.json", "c.jsonl") for r in files.read_runs(spark, str(tmp_path / n)).collect()}
+    assert got == {("1", "x", "completed"), ("2", "y", None), ("3", "", None), ("4", "z", None)}
+
+
+def test_audit_export(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "case string, n int")
+    index = files.export_audit(df, "case", str(tmp_path / "audit"))
+    assert {(r["case"], r["rows"]) for r in index.collect()} == {("a", 2), ("b", 1)}
+    back = spark.read.json(str(tmp_path / "audit/cases"))
+    assert {(r["part"], r["n"]) for r in back.collect()} == {("a", 1), ("a", 2), ("b", 3)}
