@@ -40,6 +40,8 @@ DIGITS = str.maketrans("OoIl|isSBbZzgq", "00111155862299")
 MARKS = "-­‐‑¬"
 #: A candidate must be so many times as frequent as a suspect of letters only.
 RATIO = 8
+#: Suspects, and pairs of words, that may be broadcast (some 60 bytes each); beyond it they are joined by shuffle.
+BROADCAST_WORDS = 200_000
 #: Cost of a look-alike, of any other edit, and the most that a repair may cost.
 NEAR, FAR, MOST = 1.0, 3.0, 2.0
 #: Lines at the top and at the bottom of a page among which its furniture is looked for.
@@ -52,10 +54,11 @@ PAGE_BUCKET = 256
 _number = r"[\[\-–— (]*(?:(?=[0-9OolISBZ|]*[0-9OlSB])[0-9OolISBZ|]{1,5}|[ivxlc1]{1,6}|[Pp]age [0-9OolISB|]{1,5}(?: of [0-9OolISB|]{1,5})?|第 ?[0-9OolISB|]{1,5} ?页)[\]\-–— )]*"
 _page_number = re.compile(_number)
 _running = re.compile(rf"(?:{_number}\s{{3,}}\S.*|\S.*\s{{3,}}{_number})")
+_wide = re.compile(r"\s{3}")
 _heading = re.compile(r"(?:[0-9OlISB]{1,3}(?:\.[0-9OlISB]{1,3})+\.? \S.{0,80}|第 ?[0-9OlISB一二三四五六七八九十]{1,4} ?[节章] .{0,40})")
 _caption = re.compile(r"(?:Figure|Fig\.|Table|Abbildung|Tabelle|图|表) ?[0-9OlISB]{1,4}\b.{0,90}")
 _tag = re.compile(r"<[^<>]*>")
-_token = re.compile(r"(?:(?![㐀-鿿])[^\W]|[@|$ﬁ])+(?:[-'’.,:/](?:(?![㐀-鿿])[^\W]|[@|$ﬁ])+)*")
+_token = re.compile(r"(?:[^\W㐀-鿿]+|[@|$]+)+(?:[-'’.,:/](?:[^\W㐀-鿿]+|[@|$]+)+)*")
 _numeric = re.compile(r"[0-9OoIl|isSBbZzgq]+(?:[.,:/-][0-9OoIl|isSBbZzgq]+)*")
 _ended = re.compile(r"[.!?。！？][\"'”’)\]」』]*\s*$")
 _divided = re.compile(rf"((?:(?![㐀-鿿])[^\W_]|[@|$ﬁ'’-])*(?:(?![㐀-鿿])[^\W\d_]|[@|$ﬁ]))([{MARKS}])\s*$")
@@ -65,7 +68,7 @@ LINE = "block_id int, line_no int, kind string, words array<string>, numbers arr
 
 def number_repair(token: str) -> str | None:
     """The number that a token of digits and digit look-alikes stands for; None if it is no such token."""
-    if not _numeric.fullmatch(token):
+    if token.isalpha() or not _numeric.fullmatch(token):
         return None
     digits, letters = sum(c.isdigit() for c in token), sum(c.isalpha() or c == "|" for c in token)
     if not letters or digits < letters or (digits == 1 and letters == 1 and len(token) < 2):
@@ -79,7 +82,7 @@ def is_furniture(line: str, alone: bool, edge: bool) -> bool:
     ``alone``: it is all of its block; ``edge``: it is the first or last line of its page.
     """
     text = line.strip()
-    if _running.fullmatch(text):
+    if _wide.search(text) and _running.fullmatch(text):
         return True
     return (alone or edge) and bool(_page_number.fullmatch(text))
 
@@ -139,7 +142,7 @@ def page_lines(blocks: list[dict], furniture: set[tuple[int, int]] = frozenset()
             paras[-1]["closes"] = not _ended.search(paras[-1]["text"])
         flow += paras
     for n, r in enumerate(flow):
-        found = _divided.search(r["text"])
+        found = _divided.search(r["text"]) if r["text"].rstrip()[-1:] in MARKS else None
         r["left"], r["mark"] = (found.group(1), found.group(2)) if found else (None, None)
         r["first"], r["last"] = n == 0, n == len(flow) - 1
     taken = {id(b) for a, b in zip(flow, flow[1:], strict=False) if a["left"]}
@@ -313,6 +316,12 @@ def analyse(blocks: DataFrame) -> dict[str, DataFrame]:
     return {"lines": lines, "links": links, "divided": divided, "occurrences": occurrences, "lexicon": lexicon, "candidates": found}
 
 
+def _rare(occurrences: DataFrame, lexicon: DataFrame, ways: DataFrame) -> DataFrame:
+    """``occurrences`` without those of the most frequent words that nothing may correct: they are most of a text, and would make a join on words uneven."""
+    hot = skew.hot_keys(lexicon, ["word"], "n", lexicon.agg(F.sum("n")).first()[0] or 0)
+    return occurrences if hot is None else occurrences.join(F.broadcast(hot.select("word").join(ways, "word", "left_anti")), "word", "left_anti")
+
+
 def misread_words(parts: dict[str, DataFrame]) -> DataFrame:
     """(key, word, fixed) of each occurrence of a misread word, its neighbours deciding between equal candidates."""
     found, occurrences = parts["candidates"], parts["occurrences"]
@@ -321,10 +330,15 @@ def misread_words(parts: dict[str, DataFrame]) -> DataFrame:
     tied = found.join(least, "word").where("cost = least")
     several = tied.groupBy("word").agg(F.count("*").alias("n_ways"))
     ways = checkpointed(tied.join(several, "word").select("word", "fixed", "cost", "n_fixed", "n_ways"))
-    sure = occurrences.join(ways.where("n_ways = 1").select("word", "fixed"), "word").select(*key, "word", "fixed")
-    open_ = occurrences.join(ways.where("n_ways > 1").drop("n_ways"), "word")
+    occurrences = _rare(occurrences, parts["lexicon"], ways)
+    small = ways.count() <= BROADCAST_WORDS
+    sent = F.broadcast(ways) if small else ways
+    sure = occurrences.join(sent.where("n_ways = 1").select("word", "fixed"), "word").select(*key, "word", "fixed")
+    open_ = checkpointed(occurrences.join(sent.where("n_ways > 1").drop("n_ways"), "word"))
     wanted = open_.select(F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("fixed").alias("b")), F.struct(F.col("fixed").alias("a"), F.col("after").alias("b")))).alias("p")).select("p.*").where("a <> '' AND b <> ''").distinct()
-    pairs = occurrences.where("before <> ''").select(F.col("before").alias("a"), F.col("word").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).join(wanted, ["a", "b"], "left_semi")
+    wanted = checkpointed(wanted)
+    every = parts["occurrences"].where("before <> ''").select(F.col("before").alias("a"), F.col("word").alias("b"))
+    pairs = every.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_WORDS else wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n"))
     context = open_.join(pairs.select(F.col("a").alias("before"), F.col("b").alias("fixed"), F.col("n").alias("n_before")), ["before", "fixed"], "left")
     context = context.join(pairs.select(F.col("a").alias("fixed"), F.col("b").alias("after"), F.col("n").alias("n_after")), ["fixed", "after"], "left")
     score = F.log1p(F.coalesce("n_before", F.lit(0))) + F.log1p(F.coalesce("n_after", F.lit(0))) + F.log1p("n_fixed") / 10
