@@ -44,7 +44,7 @@ RATIO = 8
 BROADCAST_WORDS = 200_000
 #: Cost of a look-alike, of any other edit, and the most that a repair may cost.
 NEAR, FAR, MOST = 1.0, 3.0, 2.0
-#: Lines at the top and at the bottom of a page among which its furniture is looked for.
+#: Blocks at the top and at the bottom of a page among which its furniture is looked for.
 TOP, BOTTOM = 2, 3
 #: A line is a stamp if it stands in so many scans, of a thousand and at least, and so often at the edge of a page.
 STAMP_SHARE, STAMP_SCANS, STAMP_EDGE = 0.001, 5, 0.8
@@ -88,19 +88,16 @@ def is_furniture(line: str, alone: bool, edge: bool) -> bool:
 
 
 def repeated_lines(pages: DataFrame) -> DataFrame:
-    """(scan_id, page_index, furniture): places (block_id, line_no) of the lines of ``pages`` that repeat at the edges of pages."""
-    # of a block of several lines only the first, at the top of a page, and the last, at its bottom, can be furniture
+    """(scan_id, page_index, furniture): places (block_id, line_no) of the blocks of one line of ``pages`` that repeat at the edges of pages."""
+    # a line within a block of several is told by its form alone, as ends of paragraphs repeat too
     whole = F.filter("blocks", lambda b: F.trim(F.coalesce(b["block_content"], F.lit(""))) != "")
     placed = pages.select("scan_id", "page_index", whole.alias("blocks")).select("scan_id", "page_index", F.size("blocks").alias("n"), F.posexplode("blocks").alias("at", "block"))
-    body, first, last = F.col("block.block_content"), F.col("at") == 0, F.col("at") >= F.col("n") - BOTTOM
-    placed = placed.withColumn("many", F.contains(body, F.lit("\n"))).where(~F.col("many") | first | last)
-    edge = F.col("many") | (F.col("at") < TOP) | (F.col("at") >= F.col("n") - BOTTOM)
-    line = F.when(~F.col("many"), body).when(first, F.substring_index(body, "\n", 1)).otherwise(F.substring_index(body, "\n", -1))
-    number = F.when(~F.col("many") | first, 1).otherwise(1 + F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))))
+    placed = placed.where(~F.contains("block.block_content", F.lit("\n")))
+    edge = (F.col("at") < TOP) | (F.col("at") >= F.col("n") - BOTTOM)
     # numbers, and whatever may be misread for one another, are made one
-    words = F.regexp_replace(F.translate(F.lower(F.trim(line)), "0123456789oil|sbzgq\tecftuvnhm", "0000000000000000000 cctfuuuuu"), "0+", "0")
+    words = F.regexp_replace(F.translate(F.lower(F.trim("block.block_content")), "0123456789oil|sbzgq\tecftuvnhm", "0000000000000000000 cctfuuuuu"), "0+", "0")
     mask = F.when(words.rlike(r"\p{L}\P{L}*\p{L}\P{L}*\p{L}") & ~words.startswith("<"), F.xxhash64(F.regexp_replace(words, " +", " ")))
-    masked = placed.select("scan_id", "page_index", F.col("block.block_id").alias("block_id"), number.alias("line_no"), edge.alias("edge"), mask.alias("mask")).where("mask IS NOT NULL")
+    masked = placed.select("scan_id", "page_index", F.col("block.block_id").alias("block_id"), F.lit(1).alias("line_no"), edge.alias("edge"), mask.alias("mask")).where("mask IS NOT NULL")
     by_page = masked.groupBy("scan_id", "mask", "page_index").agg(F.count("*").alias("n"), F.count_if("edge").alias("n_edge"))
     by_scan = by_page.groupBy("scan_id", "mask").agg(F.sum("n").alias("n_all"), F.sum("n_edge").alias("n_edge"), F.count_if(F.col("n_edge") > 0).alias("n_pages"))
     by_scan = checkpointed(by_scan.where("n_edge > 0"))
