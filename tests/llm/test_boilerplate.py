@@ -50,3 +50,15 @@ def test_rows(spark):
 def test_very_long_page():
     text = "\n".join(["The reader keeps every open window until the end of the run, as it should."] * 20_000 + ["Back to top"])
     assert B.outside_lines(B.trained(), text)[-1] == 20_001
+
+
+def test_pages_of_other_sites():
+    from hand_pages import labelled
+
+    right = total = 0
+    for title, text, outside in labelled():
+        found = set(B.outside_lines(B.trained(), text, title))
+        n = len(text.split("\n"))
+        total += n
+        right += n - len(found ^ outside)
+    assert total > 100 and right / total > 0.9, right / total
