@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import evaluation_queries, event_queries, evidence_queries, grounding_queries, page_queries, record_queries, retrieval_queries, run_queries, term_queries, text_queries, timestamp_queries, url_queries  # noqa: F401
+from cairn.plans import audit_queries, evaluation_queries, event_queries, evidence_queries, grounding_queries, page_queries, record_queries, retrieval_queries, run_queries, term_queries, text_queries, timestamp_queries, url_queries  # noqa: F401
 from cairn.plans.catalog import QUERIES, SQL, Query
 
 
