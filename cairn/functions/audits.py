@@ -14,7 +14,7 @@ def _text(c: Column) -> Column:
 
 def labelled_values(c: Column) -> Column:
     """(label, value) pairs that a text writes as label: value or label = value, in order."""
-    pattern = F.lit(r"(?:^|[\s,;|（(])([A-Za-z_][A-Za-z0-9_]{1,23}|[㐀-鿿]{1,12})[ \t]*[:：=][ \t]*([^\s,;，；。|]+)")
+    pattern = F.lit(r"(?:^|[\s,;|（(])([A-Za-z_][A-Za-z0-9_]{1,23}|[㐀-鿿]{1,12})[ \t]*[:：=][ \t]*([^\s,;，；。|/][^\s,;，；。|]*)")
     labels, values = (F.regexp_extract_all(_text(c), pattern, i) for i in (1, 2))
     return F.zip_with(labels, values, lambda a, b: F.struct(a.alias("label"), b.alias("value")))
 

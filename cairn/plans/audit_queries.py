@@ -13,7 +13,7 @@ from cairn.sources.tables import table
 
 
 @query(
-    r"""SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '(?:^|[\s,;|（(])([A-Za-z_][A-Za-z0-9_]{1,23}|[㐀-鿿]{1,12})[ \t]*[:：=][ \t]*([^\s,;，；。|]+)', 1), lambda x: lower(x)))), '|'), '') AS labels,
+    r"""SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '(?:^|[\s,;|（(])([A-Za-z_][A-Za-z0-9_]{1,23}|[㐀-鿿]{1,12})[ \t]*[:：=][ \t]*([^\s,;，；。|/][^\s,;，；。|]*)', 1), lambda x: lower(x)))), '|'), '') AS labels,
  len(regexp_extract_all(coalesce(text, ''), '\d+(?:\.\d+)?[ \t]*(?:%|ms|MB|GB|days?|hours?|条|组|秒|天)')) AS n_quantities FROM documents"""
 )
 def text_candidates(spark: SparkSession, folder: str) -> DataFrame:
