@@ -157,7 +157,12 @@ def reference_checks(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT DISTINCT task_id, task_group_id, domain, rewrite_family, round FROM training_tasks), o AS (SELECT *, row_number() OVER (ORDER BY round NULLS FIRST, task_id NULLS FIRST) AS i, coalesce(task_group_id, '') AS g, coalesce(domain, '') AS d, coalesce(rewrite_family, '') AS f FROM t),
+w AS (SELECT CAST(0 AS BIGINT) AS i, 0 AS n, false AS taken, MAP {'': 0} AS gs, MAP {'': 0} AS ds, MAP {'': 0} AS fs UNION ALL SELECT i, n + ok::INT, ok, CASE WHEN ok THEN map_concat(gs, MAP {g: coalesce(gs[g], 0) + 1}) ELSE gs END, CASE WHEN ok THEN map_concat(ds, MAP {d: coalesce(ds[d], 0) + 1}) ELSE ds END, CASE WHEN ok THEN map_concat(fs, MAP {f: coalesce(fs[f], 0) + 1}) ELSE fs END
+ FROM (SELECT o.i, o.g, o.d, o.f, w.n, w.gs, w.ds, w.fs, w.n < 200 AND coalesce(w.gs[o.g], 0) < 4 AND coalesce(w.ds[o.d], 0) < 60 AND coalesce(w.fs[o.f], 0) < 80 AS ok FROM w JOIN o ON o.i = w.i + 1) s)
+SELECT task_id, task_group_id, domain, rewrite_family, round FROM w JOIN o USING (i) WHERE taken"""
+)
 def quota_selection(spark: SparkSession, folder: str) -> DataFrame:
     """Two hundred tasks under several quotas at once, taken greedily in order; see the operator for why it is sequential."""
     from cairn.operators import selection
