@@ -476,13 +476,13 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     paragraph are numbered by a running count over the scan's pages, bucket by bucket.
     """
     parts = analyse(blocks)
-    pieces = _repaired_pages(parts).select("scan_id", "page_index", F.posexplode("pieces").alias("at", "p")).select("scan_id", "page_index", "at", "p.*")
-    body = pieces.where("kind = 'para'")
-    # a piece begins a paragraph unless the piece before it in the scan has an open end
-    before = ordered.previous(body, ["scan_id"], ["page_index", "at"], "open_end", "held")
-    begun = before.withColumn("begins", (~F.coalesce("held", F.lit(False))).cast("int"))
-    numbered = ordered.running(begun, ["scan_id"], ["page_index", "at"], {"paragraph": ("sum", "begins")})
-    texts = numbered.groupBy("scan_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("page_index", "at", "block_id", "text"))).alias("l"))
+    pieces = checkpointed(_repaired_pages(parts).select("scan_id", "page_index", F.posexplode("pieces").alias("at", "p")).select("scan_id", "page_index", "at", "p.*"))
+    # a piece begins a paragraph unless the piece before it in the scan has an open end; numbers are found without the texts
+    place = ["scan_id", "page_index", "at"]
+    before = ordered.previous(pieces.where("kind = 'para'").select(*place, "open_end"), ["scan_id"], ["page_index", "at"], "open_end", "held")
+    begun = before.select(*place, (~F.coalesce("held", F.lit(False))).cast("int").alias("begins"))
+    numbered = ordered.running(begun, ["scan_id"], ["page_index", "at"], {"paragraph": ("sum", "begins")}).select(*place, "paragraph")
+    texts = pieces.where("kind = 'para'").join(numbered, place).groupBy("scan_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("page_index", "at", "block_id", "text"))).alias("l"))
     glued = F.aggregate(F.transform("l", lambda x: x["text"]), F.lit(""), lambda a, b: F.when((a == "") | (b == ""), F.concat(a, b)).when(a.rlike("[㐀-鿿，。；：、]$") & b.rlike("^[㐀-鿿]"), F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b)))
     whole = texts.select("scan_id", F.col("l")[0]["page_index"].alias("page_index"), F.col("l")[0]["block_id"].alias("block_id"), F.lit("para").alias("kind"), glued.alias("text"))
     return whole.unionByName(pieces.where("kind <> 'para'").select("scan_id", "page_index", "block_id", "kind", "text"))
