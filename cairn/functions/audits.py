@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions import evidence, terms, text
+from cairn.functions import evidence, terms, text, urls
 
 
 def _text(c: Column) -> Column:
@@ -81,3 +81,37 @@ def upserted(df: DataFrame, changes: DataFrame, key: str, flag: str) -> DataFram
     other = changes.select(*[F.col(c).alias(f"__{c}") for c in changes.columns])
     joined = df.join(other, F.col(key) == F.col(f"__{key}"), "full")
     return joined.select(*[(F.coalesce(f"__{c}", c) if c in changes.columns else F.col(c)).alias(c) for c in df.columns], F.col(f"__{key}").isNotNull().alias(flag))
+
+
+def bounded_quote(c: Column, size: int = 800, reach: int = 240) -> Column:
+    """A text of more than ``size`` characters up to the first sentence end within ``reach`` beyond, else to the last one, else the last space, of its second half; else cut hard."""
+    t = F.regexp_replace(F.regexp_replace(_text(c), "\r\n?", "\n"), r"^\s+|\s+$", "")
+    head, rest = F.substring(t, 1, size), F.substring(t, size + 1, reach)
+    beyond = F.length(F.regexp_extract(rest, r"(?s)^(.*?[.!?。！？；;](?:(?=\s)|$))", 1))
+    back, space = F.length(F.regexp_extract(head, r"(?s)^(.*[.!?。！？；;](?:(?=\s)|$))", 1)), F.length(F.regexp_extract(head, r"(?s)^(.*) ", 1))
+    cut = F.when(beyond > 0, size + beyond).when(back >= size // 2, back).when(space >= size // 2, space).otherwise(size)
+    return F.when(F.length(t) <= size, t).otherwise(F.regexp_replace(F.substring(t, F.lit(1), cut), r"\s+$", ""))
+
+
+def site_allows(url: Column, query: Column) -> Column:
+    """Whether a URL lies within the site that a query names by site:; true if it names none."""
+    site = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(_text(query), r"(?i)(?:^|\s)site:([A-Za-z0-9.-]+)", 1)), r"^www\.", ""), r"\.+$", "")
+    return (site == "") | urls.host_within(urls.host(url), site)
+
+
+def package_name(c: Column, registry: str) -> Column:
+    """The package that a request names for a registry (crates, pypi, npm): by its URL, after the registry's name, or as the whole request; '' if none."""
+    t = F.trim(F.regexp_replace(_text(c), r"[\s\p{Z}]+", " "))
+    at = {"crates": r"(?i)^https?://(?:www\.)?crates\.io/crates/([^/?#]+)", "pypi": r"(?i)^https?://(?:www\.)?pypi\.org/(?:project|pypi)/([^/?#]+)", "npm": r"(?i)^https?://(?:www\.)?npmjs\.com/package/(@[^/?#]+/[^/?#]+|[^/@?#]+)"}[registry]
+    after = {"crates": r"(?i)\bcrates\.io(?: 上)? ([A-Za-z0-9_.-]+)", "pypi": r"(?i)\bPyPI(?: 上)? ([A-Za-z0-9_.-]+)", "npm": r"(?i)\bnpm(?: 上)? (@?[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)?)"}[registry]
+    found = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in (at, after)]
+    return F.coalesce(*found, F.when(t.rlike(r"^@?[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)?$"), t), F.lit(""))
+
+
+def option_score(total: Column, count: Column, first: Column, quote: Column, method: str, weight: float = 1.0) -> Column:
+    """Score of an option from its log probabilities: their 'sum', 'mean', 'sqrt_mean' (over the root of their number), 'first', or 'query_sqrt_mean', which adds ``weight`` times the quote's score."""
+    rooted = total / F.sqrt(count)
+    ways = {"sum": total, "mean": total / count, "sqrt_mean": rooted, "first": first, "query_sqrt_mean": rooted + weight * quote}
+    if method not in ways:
+        raise ValueError(f"no method {method}; one of {', '.join(ways)}")
+    return ways[method]

@@ -45,3 +45,24 @@ def flattened(value: dict[str, Any], prefix: str = "") -> dict[str, float]:
         elif isinstance(item, (bool, int, float)):
             out[name] = float(item)
     return out
+
+
+def leaf_texts(value: Any) -> list[str]:
+    """Keys and leaf values as texts, in order; nulls and blank texts are left out."""
+    if isinstance(value, dict):
+        return [x for key, item in value.items() for x in [str(key), *leaf_texts(item)]]
+    if isinstance(value, list):
+        return [x for item in value for x in leaf_texts(item)]
+    text = "" if value is None else str(value).strip()
+    return [text] if text else []
+
+
+def bounded(value: Any, items: int = 16, chars: int = 500, depth: int = 3) -> Any:
+    """A value with at most ``items`` members of each list and object, texts of at most ``chars``, and what lies deeper than ``depth`` as text."""
+    if isinstance(value, (dict, list)) and depth <= 0:
+        return canonical(value)[:chars]
+    if isinstance(value, dict):
+        return {str(k)[:120]: bounded(v, items, chars, depth - 1) for k, v in list(value.items())[:items]}
+    if isinstance(value, list):
+        return [bounded(v, items, chars, depth - 1) for v in value[:items]]
+    return value if value is None or isinstance(value, (bool, int, float)) else str(value)[:chars]

@@ -51,6 +51,18 @@ def chunk_rows(df: DataFrame, text: str, limit: int = 800, overlap: float = 0.1)
     return each_text(df, [text], lambda t: [{"chunk": c, "n_tokens": passages.word_count(c)} for c in passages.chunks(t, limit, overlap)], "chunk string, n_tokens int")
 
 
+def page_chunk_rows(df: DataFrame, text: str, whole: int = 2400, limit: int = 800, overlap: float = 0.1) -> DataFrame:
+    """A row for each chunk of a page, with its id: one for a page of at most ``whole`` tokens, else chunks of paragraphs, overlapping by at most a quarter. Blank pages have none."""
+
+    def cut(t: str | None) -> list[dict]:
+        body = (t or "").strip()
+        n = passages.word_count(body)
+        parts = [body] if body and n <= whole else passages.chunks(body, limit, max(0.0, min(overlap, 0.25)))
+        return [{"chunk_id": f"chunk-{i}", "chunk": c, "n_tokens": passages.word_count(c)} for i, c in enumerate(parts, 1)]
+
+    return each_text(df, [text], cut, "chunk_id string, chunk string, n_tokens int")
+
+
 def line_chunk_rows(df: DataFrame, text: str, limit: int, overlap_lines: int) -> DataFrame:
     """A row for each chunk of lines; a text with a line over the limit gives one row with its ``problem``."""
 

@@ -168,3 +168,60 @@ def ordered_sources(spark: SparkSession, folder: str) -> DataFrame:
     rank = F.when(F.col("authority") == "official", 0).when(F.col("authority") == "independent", 1).otherwise(2)
     keyed = rows.select("task_id", "source_id", "authority", (F.col("n") == 0).alias("bare"), rank.alias("rank"), (-F.col("n")).alias("less"))
     return ordered.numbered(keyed, ["task_id"], ["bare", "rank", "less", "source_id", "authority"], "place").select("task_id", "source_id", "place")
+
+
+_STOPPED = "[.!?。！？；;]"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\s+|\s+$', '', 'g') AS t FROM documents), h AS (SELECT doc_id, t, t[:200] AS head, t[201:260] AS rest FROM d),
+m AS (SELECT *, list_filter(range(1, length(rest) + 1), lambda i: regexp_full_match(rest[i:i], '{_STOPPED}') AND (i = length(rest) OR regexp_full_match(rest[i + 1:i + 1], '\s')))[1] AS beyond,
+ list_filter(range(1, length(head) + 1), lambda i: regexp_full_match(head[i:i], '{_STOPPED}') AND (i = length(head) OR regexp_full_match(head[i + 1:i + 1], '\s')))[-1] AS back, length(regexp_extract(head, '(?s)^(.*) ', 1)) AS space FROM h)
+SELECT doc_id, md5(CASE WHEN length(t) <= 200 THEN t ELSE regexp_replace(t[:CASE WHEN beyond IS NOT NULL THEN 200 + beyond WHEN coalesce(back, 0) >= 100 THEN back WHEN space >= 100 THEN space ELSE 200 END], '\s+$', '') END) AS digest FROM m"""
+)
+def bounded_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document as a quote of about 200 characters that ends with a sentence where one ends near."""
+    return table(spark, folder, "documents").select("doc_id", F.md5(audits.bounded_quote(F.col("text"), 200, 60).cast("binary")).alias("digest"))
+
+
+@query(
+    r"""WITH q AS (SELECT DISTINCT case_id, trim(regexp_replace(coalesce(query, ''), '[\s\p{Z}]+', ' ', 'g')) AS t FROM eval_prompts)
+SELECT DISTINCT case_id, coalesce(nullif(regexp_extract(t, '(?i)^https?://(?:www\.)?pypi\.org/(?:project|pypi)/([^/?#]+)', 1), ''), nullif(regexp_extract(t, '(?i)\bPyPI(?: 上)? ([A-Za-z0-9_.-]+)', 1), ''), CASE WHEN regexp_full_match(t, '@?[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)?') THEN t END, '') AS pypi,
+ coalesce(nullif(regexp_extract(t, '(?i)^https?://(?:www\.)?npmjs\.com/package/(@[^/?#]+/[^/?#]+|[^/@?#]+)', 1), ''), nullif(regexp_extract(t, '(?i)\bnpm(?: 上)? (@?[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)?)', 1), ''), CASE WHEN regexp_full_match(t, '@?[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)?') THEN t END, '') AS npm FROM q"""
+)
+def package_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Packages of two registries that the test questions name."""
+    return table(spark, folder, "eval_prompts").select("case_id", audits.package_name(F.col("query"), "pypi").alias("pypi"), audits.package_name(F.col("query"), "npm").alias("npm")).distinct()
+
+
+@query(
+    """WITH o AS (SELECT user_id, event_type, sum(value) AS total, count(*) AS n, arg_min(value, event_id) AS first, min(value) / 100 AS quote FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, round(total / n, 6) AS mean, round(total / sqrt(n), 6) AS sqrt_mean, round(first, 6) AS first, round(total / sqrt(n) + 0.5::DOUBLE * quote, 6) AS query_sqrt_mean FROM o"""
+)
+def option_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of options by four methods, each user's kinds of events standing for options and their values for log probabilities."""
+    sums = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("total"), F.count("*").alias("n"), F.min_by("value", "event_id").alias("first"), (F.min("value") / 100).alias("quote"))
+    of = lambda m: F.round(audits.option_score(F.col("total"), F.col("n"), F.col("first"), F.col("quote"), m, 0.5), 6).alias(m)
+    return sums.select("user_id", "event_type", of("mean"), of("sqrt_mean"), of("first"), of("query_sqrt_mean"))
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT item_id, evidence_origin, snippet, page_excerpt, source_excerpt FROM evidence_items)
+SELECT evidence_origin, count(*) AS n, count(*) FILTER (trim(coalesce(page_excerpt, '')) = '') AS no_page, count(*) FILTER (trim(coalesce(page_excerpt, '')) = '' AND trim(coalesce(source_excerpt, '')) <> '') AS recovered, coalesce(CAST(sum(length(source_excerpt)) AS BIGINT), 0) AS source_chars FROM r GROUP BY 1"""
+)
+def extraction_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    """By origin: items without a page's text, and how many of them the source's text makes up for."""
+    rows = table(spark, folder, "evidence_items").select("item_id", "evidence_origin", "snippet", "page_excerpt", "source_excerpt").distinct()
+    bare, other = (F.trim(F.coalesce(c, F.lit(""))) == "" for c in ("page_excerpt", "source_excerpt"))
+    return rows.groupBy("evidence_origin").agg(F.count("*").alias("n"), F.count_if(bare).alias("no_page"), F.count_if(bare & ~other).alias("recovered"), F.coalesce(F.sum(F.length("source_excerpt")), F.lit(0)).alias("source_chars"))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT question_id, domain, reference_metadata.status AS status FROM eval_cases), a AS (SELECT domain, count(*) AS n_tasks, max(round) AS last_round FROM training_tasks WHERE domain IS NOT NULL GROUP BY 1)
+SELECT c.question_id, c.domain, coalesce(a.n_tasks, 0) AS n_tasks, a.last_round FROM c LEFT JOIN a USING (domain) WHERE coalesce(c.status, '') <> 'ready'"""
+)
+def reference_queue(spark: SparkSession, folder: str) -> DataFrame:
+    """Cases whose reference is not ready, with what tasks there are for their domain."""
+    cases = table(spark, folder, "eval_cases").select("question_id", "domain", F.col("reference_metadata.status").alias("status")).distinct().where("coalesce(status, '') <> 'ready'")
+    tasks = table(spark, folder, "training_tasks").where("domain IS NOT NULL").groupBy("domain").agg(F.count("*").alias("n_tasks"), F.max("round").alias("last_round"))
+    return cases.join(tasks, "domain", "left").select("question_id", "domain", F.coalesce("n_tasks", F.lit(0)).alias("n_tasks"), "last_round")

@@ -22,6 +22,12 @@ def chunk_semantic(spark: SparkSession, folder: str) -> DataFrame:
     return passages.chunk_rows(table(spark, folder, "documents").select("doc_id", "text"), "text", limit=200)
 
 
+@query()
+def page_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as one chunk if it is short, else in chunks of paragraphs."""
+    return passages.page_chunk_rows(table(spark, folder, "documents").select("doc_id", "text"), "text", 300, 200)
+
+
 @query(
     r"""WITH RECURSIVE d AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents WHERE coalesce(text, '') <> ''), s AS (SELECT doc_id, regexp_extract_all(t, '[^\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]*[\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]|[^\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]+$') AS ls FROM d),
 z AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS x FROM s),
