@@ -69,29 +69,37 @@ def mix_sources(docs: DataFrame, key: str, source: str, size: str, targets: Data
         r = round(r, 12)
         whole = math.floor(r)
         plan.append((name, whole, r - whole, (r - whole) * totals.get(name, 0)))
-    plans = spark.createDataFrame(plan, "source string, whole int, fraction double, budget double")
     draw = (F.shiftrightunsigned(F.xxhash64("key", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("fraction") / (1 - F.col("fraction")))
-    ranked = once.join(F.broadcast(plans), "source").withColumn("u", draw)
-    ranked = ranked.withColumn("rank", F.when(F.col("fraction") > 0, odds / (1 + odds))).withColumn("bucket", F.floor(F.col("rank") * BUCKETS).cast("int")).drop("u")
-    sums = ranked.where("bucket IS NOT NULL").groupBy("source", "bucket").agg(F.sum("size").alias("held"), F.first("budget").alias("budget"))
-    order = Window.partitionBy("source").orderBy("bucket")
-    below = F.coalesce(F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = sums.withColumn("below", below).where("below < budget AND below + held >= budget").select("source", F.col("bucket").alias("cut"), "below")
-    placed = ranked.join(F.broadcast(cuts), "source", "left")
-    inside = placed.where("bucket = cut")
+    kind = once.schema["key"].dataType.simpleString()
+
+    def placed(more: list[tuple], columns: str) -> DataFrame:
+        """Documents with their source's plan (one row a source, so no more than MAX_SOURCES), rank and bucket."""
+        plans = spark.createDataFrame(more, "source string, whole int, fraction double, budget double" + columns)
+        rows = once.join(F.broadcast(plans), "source").withColumn("u", draw).withColumn("rank", F.when(F.col("fraction") > 0, odds / (1 + odds)))
+        return rows.withColumn("bucket", F.floor(F.col("rank") * BUCKETS).cast("int")).drop("u")
+
+    # the bucket in which each source's budget ends
+    sums = placed(plan, "").where("bucket IS NOT NULL").groupBy("source", "bucket").agg(F.sum("size").alias("held"), F.first("budget").alias("budget"))
+    below = F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = {r["source"]: (r["bucket"], r["below"]) for r in sums.withColumn("below", below).where("below < budget AND below + held >= budget").select("source", "bucket", "below").collect()}
+    # the last document of that bucket that is within the budget; where nothing is cut, each document has its extra copy
+    plan = [(*p, *cuts.get(p[0], (None, None))) for p in plan]
     running = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "key").rowsBetween(Window.unboundedPreceding, 0))
-    last = inside.withColumn("extra", F.when(F.col("below") + running <= F.col("budget"), 1).otherwise(0))
-    # without a cut, rounding left all of the source below its size: each of its documents has the extra copy
-    taken = F.col("bucket").isNotNull() & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")))
-    rest = placed.where("bucket IS NULL OR cut IS NULL OR bucket <> cut").withColumn("extra", F.when(taken, 1).otherwise(0))
-    drawn = rest.unionByName(last)
+    inside = placed(plan, ", cut int, below bigint").where("bucket = cut").withColumn("running", running).where("below + running <= budget")
+    ends = {r["source"]: (r["last"]["rank"], r["last"]["key"], r["size"]) for r in inside.groupBy("source").agg(F.max(F.struct("rank", "key")).alias("last"), F.sum("size").alias("size")).collect()}
+    plan = [(*p[:5], *ends.get(p[0], (None, None, 0))[:2], p[3] - (p[5] or 0) - ends.get(p[0], (None, None, 0))[2] if p[4] is not None else 0.0) for p in plan]
+    last = F.coalesce(F.struct("rank", "key") <= F.struct(F.col("last_rank").alias("rank"), F.col("last_key").alias("key")), F.lit(False)) & F.col("last_rank").isNotNull()
+    extra = F.col("bucket").isNotNull() & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & last))
+    columns = f", cut int, last_rank double, last_key {kind}, gap double"
+    drawn = placed(plan, columns).withColumn("extra", extra)
     # the gap that is left, smaller than one document, goes to the first in the order that closes it well enough
-    gaps = drawn.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("filled"), F.first("budget").alias("budget")).select("source", (F.col("budget") - F.col("filled")).alias("gap"), (F.col("budget") * CLOSE).alias("near"))
-    fits = drawn.where("extra = 0 AND bucket IS NOT NULL").join(F.broadcast(gaps), "source")
-    fits = fits.where("size < 2 * gap").groupBy("source").agg(F.min(F.struct(F.greatest(F.abs(F.col("size") - F.col("gap")), F.col("near")).alias("off"), "rank", "key")).alias("best"))
-    drawn = drawn.join(F.broadcast(fits.select("source", F.col("best.key").alias("filler"))), "source", "left")
-    copies = F.col("whole") + F.col("extra") + F.coalesce((F.col("key") == F.col("filler")).cast("int"), F.lit(0))
+    off = F.greatest(F.abs(F.col("size") - F.col("gap")), F.col("budget") * CLOSE)
+    fits = drawn.where("NOT extra AND bucket IS NOT NULL AND size < 2 * gap").groupBy("source").agg(F.min(F.struct(off.alias("off"), "rank", "key")).alias("best"))
+    fillers = {r["source"]: r["best"]["key"] for r in fits.collect()}
+    plan = [(*p, fillers.get(p[0])) for p in plan]
+    drawn = placed(plan, columns + f", filler {kind}").withColumn("extra", extra)
+    copies = F.col("whole") + F.col("extra").cast("int") + F.coalesce((F.col("key") == F.col("filler")).cast("int"), F.lit(0))
     chosen = checkpointed(drawn.select("key", "source", "size", copies.alias("copies")).where("copies > 0"))
     mix = chosen.select(F.col("key").alias(key), F.col("source").alias(source), F.col("size").alias(size), "copies")
     reached = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.count("*").alias("n_documents"), F.sum("copies").alias("n_copies"), F.max("copies").alias("max_copies"))
