@@ -45,11 +45,11 @@ SHARD_CONTEXTS = 2_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def blocks(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, phrase: int = PHRASE) -> dict[str, np.ndarray]:
+def blocks(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, phrase: int = PHRASE, signed: bool = True) -> dict[str, np.ndarray]:
     """Blocks of the texts that lie at starts..ends in one flat array (under 2**24 long).
 
     Of each block: number of the text, first and last window start, place of the phrase, hash of the phrase
-    and signature of the text the block's windows cover.
+    and, if ``signed``, signature of the text the block's windows cover.
     """
     n, m, width = len(points), len(points) - length + 1, length - phrase + 1
     starts, ends = starts.astype(np.int64), ends.astype(np.int64)
@@ -78,8 +78,10 @@ def blocks(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     text = np.searchsorted(starts, lo, side="right") - 1
     # empty texts share a start; take the one that holds the window
     text = long[np.searchsorted(starts[long], lo, side="right") - 1] if len(long) else text
-    hi = np.minimum(np.append(lo[1:], n) - 1, ends[text] - length)
     at = place[lo]
+    if not signed:
+        return {"text": text, "phrase": grams[at].view(np.int64)}
+    hi = np.minimum(np.append(lo[1:], n) - 1, ends[text] - length)
     signature = ta.mix(hasher.of(lo, hi + length) ^ (at - lo).astype(np.uint64))
     return {"text": text, "lo": lo - starts[text], "hi": hi - starts[text], "at": at - starts[text], "phrase": grams[at].view(np.int64), "signature": signature.view(np.int64)}
 
@@ -89,13 +91,31 @@ def _stretches(text: str, length: int) -> Iterator[tuple[int, str]]:
         yield start, text[start : start + STRETCH + length - 1]
 
 
+def _phrase_rows(length: int, phrase: int):
+    """The phrases that each text's blocks name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, parts in _parts(batches, length):
+            for _, pieces in parts:
+                points, bounds = ta.flat(pieces)
+                b = blocks(points, bounds[:-1], bounds[1:], length, phrase, signed=False)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(b["text"])), pa.array(b["phrase"])], ["doc", "phrase"])
+
+    return run
+
+
+def _parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list[str]]]]]:
+    """Slices of the batches with their texts, or with the stretches of one very long text, and where these begin."""
+    for batch, texts in ta.chunks(batches, "text"):
+        if len(texts) == 1 and len(texts[0] or "") > STRETCH + length:
+            yield batch, [(offset, [piece]) for offset, piece in _stretches(texts[0], length)]
+        else:
+            yield batch, [(0, [t or "" for t in texts])]
+
+
 def _block_rows(length: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in ta.chunks(batches, "text"):
-            if len(texts) == 1 and len(texts[0] or "") > STRETCH + length:
-                parts = [(offset, [piece]) for offset, piece in _stretches(texts[0], length)]
-            else:
-                parts = [(0, [t or "" for t in texts])]
+        for batch, parts in _parts(batches, length):
             for offset, pieces in parts:
                 points, bounds = ta.flat(pieces)
                 b = blocks(points, bounds[:-1], bounds[1:], length, phrase)
@@ -222,7 +242,8 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = LENGTH, phras
     rows = skew.dealt(rows)
     kind = rows.schema["doc"].dataType.simpleString()
     named = rows.mapInArrow(_block_rows(length, phrase), f"doc {kind}, phrase bigint, signature bigint, lo int, hi int, at int")
-    recurring = checkpointed(named.groupBy("phrase").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a <> b").select("phrase", "n"))
+    phrases = rows.mapInArrow(_phrase_rows(length, phrase), f"doc {kind}, phrase bigint")
+    recurring = checkpointed(phrases.groupBy("phrase").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a <> b").select("phrase", "n"))
     found = checkpointed(skew.join_counted(named, recurring, ["phrase"]).drop("n"))
     # a signature covers the phrase's place too, so equal ones mean equal phrases
     place = F.struct("doc", "lo")
