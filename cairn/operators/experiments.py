@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -89,22 +90,30 @@ def overlapping_batches(items: Column, size: int = 5, coverage: int = 2) -> Colu
 
     Each pass walks the list with another stride that shares no factor with its length.
     """
-    once = F.array_distinct(F.filter(items, lambda x: x != ""))
-    n = F.size(once)
-    wide = F.greatest(F.lit(2), F.least(F.lit(size), n))
 
     def divisor(a: Column, b: Column) -> Column:
-        # Euclid's rule, as often as numbers of an array's size can need
-        pair = F.aggregate(F.sequence(F.lit(1), F.lit(48)), F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, F.lit(1)).otherwise(s["b"])).alias("b"))))
+        # Euclid's rule; ``a`` is at most 47, so twelve steps suffice for any ``b``
+        pair = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, F.lit(1)).otherwise(s["b"])).alias("b"))))
         return pair["a"]
 
-    passes = []
-    for p in range(max(1, min(coverage, 4))):
-        stride = F.try_element_at(F.filter(F.sequence(F.lit(1 + 2 * p), F.lit(1 + 2 * p) + n), lambda s: divisor(s, n) == 1), F.lit(1))
-        start = (p * F.greatest(F.lit(1), F.floor(wide / 2).cast("int"))) % n
-        signed = -stride if p % 2 else stride
-        passes.append(_cut(_walk(once, n, start, signed), n, wide))
-    return F.when(n > 0, F.concat(*passes)).otherwise(F.array().cast("array<array<string>>"))
+    def dealt(once: Column, n: Column) -> Column:
+        wide = F.greatest(F.lit(2), F.least(F.lit(size), n))
+
+        def one(p: int) -> Column:
+            # of any 40 whole numbers in a row one shares no factor with a number that is no more than an array's size
+            found = F.try_element_at(F.filter(F.sequence(F.lit(1 + 2 * p), F.lit(1 + 2 * p) + F.least(n, F.lit(40))), lambda s: divisor(s, n) == 1), F.lit(1))
+            start = (p * F.greatest(F.lit(1), F.floor(wide / 2).cast("int"))) % n
+            walk = _bound(-found if p % 2 else found, lambda stride: _walk(once, n, start, stride))
+            return _bound(walk, lambda w: _cut(w, n, wide))
+
+        return F.when(n > 0, F.concat(*[one(p) for p in range(max(1, min(coverage, 4)))])).otherwise(F.array().cast("array<array<string>>"))
+
+    return _bound(F.array_distinct(F.filter(items, lambda x: x != "")), lambda once: _bound(F.size(once), lambda n: dealt(once, n)))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; an expression in the lambda of a list is computed again for each of its items."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _walk(items: Column, n: Column, start: Column, stride: Column) -> Column:

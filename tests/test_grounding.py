@@ -1,7 +1,9 @@
 """Citations, facts, similar questions, experiments, merges and records on small cases."""
 
 import json
+import math
 import random
+import time
 
 from cairn.functions import evidence as E
 from cairn.functions import records as R
@@ -62,6 +64,22 @@ def test_order_views_and_batches(spark):
     assert batches[2] == []
 
 
+def test_batches_of_long_lists_as_brute_force(spark):
+    # values that every item, stride and batch computed again made this take the fourth power of a list's length
+    sizes = [1, 2, 3, 4, 6, 7, 15, 30, 97, 105, 200, 210, 400]
+    df = spark.createDataFrame([(n, [f"i{i:03d}" for i in range(n)]) for n in sizes], "n int, x array<string>")
+    began = time.monotonic()
+    got = {r[0]: r[1] for r in df.select("n", experiments.overlapping_batches(F.col("x"), 5, 4)).collect()}
+    assert time.monotonic() - began < 60
+    for n in sizes:
+        want, size = [], max(2, min(5, n))
+        for p in range(4):
+            stride = next(s for s in range(1 + 2 * p, 2 + 2 * p + n) if math.gcd(s, n) == 1) * (-1 if p % 2 else 1)
+            walk = [f"i{((p * max(1, size // 2)) % n + i * stride) % n:03d}" for i in range(n)]
+            want += [walk[i : i + size] for i in range(0, n, size)]
+        assert got[n] == want
+
+
 def test_experiments(spark):
     base = spark.createDataFrame([("a", 1.0, 1.0), ("b", 1.0, None), ("c", 1.0, 2.0), ("d", None, None)], "k string, x double, y double")
     new = spark.createDataFrame([("a", 2.0, 0.0), ("b", 2.0, None), ("c", 1.0, 2.0), ("d", 1.0, None), ("e", 1.0, 1.0)], "k string, x double, y double")
