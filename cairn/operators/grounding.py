@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import similarity, terms, text, urls
+from cairn.session import checkpointed
 
 #: Hosts whose pages are lists of search results.
 RESULT_HOSTS = ("google.com", "bing.com", "duckduckgo.com", "search.brave.com", "search.yahoo.com", "baidu.com")
 #: Origins of texts that are no evidence.
 NO_EVIDENCE = ("discovery", "search_result", "snippet")
 
+#: Fixed value: 64-bit words of a set's signature.
+_LONGS = 4
+
 _TOKENS = r"[A-Za-z][A-Za-z0-9_-]{2,}|[㐀-鿿]{2,}"
 
 
@@ -113,28 +119,62 @@ def best_similar(queries: DataFrame, history: DataFrame, key: str, value: str, t
 
     Equal normal forms score 1. Otherwise both need ``least`` tokens, the smaller set must lie in the other by ``contained``,
     and the score is the Jaccard share; pairs below ``threshold`` don't count; ties go to the least key. Forms, of which each
-    counts once, meet on their rarest tokens: sets of that similarity share one of the first few in order of rarity.
+    counts once, meet on their rarest tokens and the smaller one's size: sets of that similarity share one of the first few in order of
+    rarity. Of those that meet, only the pairs whose signatures differ by no more bits than such sets can differ by tokens are compared.
     """
     def formed(df: DataFrame) -> DataFrame:
         form = F.translate(text.query_key(F.col(value)), "零〇一二三四五六七八九", "00123456789")
         return df.select(F.col(key).alias("k"), form.alias("form")).where("form <> '' AND k IS NOT NULL").distinct()
 
-    a, b = formed(queries), formed(history)
+    a = checkpointed(formed(queries))
+    b = a if history is queries else checkpointed(formed(history))
     # two keys of a form stand for all, as one of them is another key
     keys = b.groupBy("form").agg(F.min("k").alias("k1"), F.max("k").alias("k2"))
     other = F.when(F.col("k1") != F.col("k"), F.col("k1")).when(F.col("k2") != F.col("k"), F.col("k2"))
     equal = a.join(keys, "form").select("k", other.alias("best_key"), F.lit(1.0).alias("score"))
-    tokens_ = F.array_sort(F.array_distinct(F.regexp_extract_all("form", F.lit("[a-z0-9_]+|[㐀-鿿]"), 0)))
-    left, right = (df.select("form").distinct().withColumn("t", tokens_).where(F.size("t") >= least) for df in (a, b))
-    rare = left.union(right).distinct().select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-
-    def ranked(df: DataFrame) -> DataFrame:
-        ordered = df.select("form", "t", F.explode("t").alias("w")).join(rare, "w").groupBy("form", "t").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
-        prefix = F.size("t") - F.ceil(F.size("t") * threshold).cast("int") + 1
-        return ordered.select("form", "t", F.explode(F.slice("o", F.lit(1), prefix)).alias("p")).select("form", "t", F.col("p.w").alias("w"))
-
-    pairs = ranked(left).join(ranked(right).select(F.col("form").alias("form2"), F.col("t").alias("t2"), "w"), "w").where("form <> form2").select("form", "form2", "t", "t2").distinct()
-    near = pairs.where(F.size(F.array_intersect("t", "t2")) / F.least(F.size("t"), F.size("t2")) >= contained).select("form", "form2", similarity.jaccard(F.col("t"), F.col("t2")).alias("score")).where(F.col("score") >= threshold)
-    near = a.join(near, "form").join(keys.withColumnRenamed("form", "form2"), "form2").select("k", other.alias("best_key"), "score")
+    tokens_ = F.array_distinct(F.regexp_extract_all("form", F.lit("[a-z0-9_]+|[㐀-鿿]"), 0))
+    forms = a.select("form").distinct().withColumn("asked", F.lit(True)).join(keys, "form", "full")
+    forms = checkpointed(forms.select(F.monotonically_increasing_id().alias("id"), "form", F.col("asked").isNotNull().alias("asked"), "k1", "k2", tokens_.alias("t")))
+    sets = checkpointed(_signed(forms.where(F.size("t") >= least).select("id", "asked", F.col("k1").isNotNull().alias("known"), "t")))
+    both = _near_sets(sets, threshold, contained).join(sets.select("id", "t"), "id").join(sets.select(F.col("id").alias("id2"), F.col("t").alias("t2")), "id2")
+    both = both.where(F.size(F.array_intersect("t", "t2")) / F.least(F.size("t"), F.size("t2")) >= contained).select("id", "id2", similarity.jaccard(F.col("t"), F.col("t2")).alias("score")).where(F.col("score") >= threshold)
+    near = both.union(both.select("id2", "id", "score")).join(forms.where("asked").select("id", "form"), "id").join(forms.where("k1 IS NOT NULL").select(F.col("id").alias("id2"), "k1", "k2"), "id2")
+    near = a.join(near, "form").select("k", other.alias("best_key"), "score")
     every = equal.unionByName(near).where("best_key IS NOT NULL").select("k", F.struct((-F.round("score", 6)).alias("less"), "best_key").alias("b"))
     return every.groupBy("k").agg(F.min("b").alias("b")).select(F.col("k").alias(key), "b.best_key", (-F.col("b.less")).alias("score"))
+
+
+def _signed(sets: DataFrame) -> DataFrame:
+    """``sets`` (id, asked, known, t) with the tokens ``t`` in order of rarity, their number ``n`` and a signature of them, s0 and so on."""
+    words = sets.select("id", "asked", "known", F.explode("t").alias("w"))
+    rare = words.groupBy("w").agg(F.count("*").alias("n"))
+    bit = F.pmod(F.xxhash64("w"), F.lit(64 * _LONGS))
+    signs = [F.bit_or(F.when(F.floor(bit / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(_LONGS)]
+    ranked = words.join(rare, "w").groupBy("id", "asked", "known").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"), *signs)
+    return ranked.select("id", "asked", "known", F.col("o.w").alias("t"), F.size("o").alias("n"), *[f"s{i}" for i in range(_LONGS)])
+
+
+def _near_sets(sets: DataFrame, threshold: float, contained: float) -> DataFrame:
+    """(id, id2): each pair of sets that lie in each other by ``contained`` and have a Jaccard share of ``threshold`` once, the smaller first, and a few others.
+
+    Such sets of sizes a <= b share at least contained * a and threshold / (1 + threshold) * (a + b) tokens. From the first of these
+    on, in order of rarity, either set therefore has as many tokens left. The larger set is repeated for each size that the smaller
+    one may have, and meets it only on as many tokens as that size asks for. Signatures differ in no more bits than sets in tokens.
+    """
+    # quotients are moved by a millionth to the side of more pairs, and words whose hashes are equal by chance add pairs too
+    part, tiny = threshold / (1 + threshold), 1e-6
+    up = lambda c: F.ceil(c - tiny).cast("int")
+    down = lambda c: F.floor(c + tiny).cast("int")
+    n, n2, left = F.col("n"), F.col("n2"), F.col("n") - F.col("at")
+    signs = [f"s{i}" for i in range(_LONGS)]
+    first = lambda size: sets.select("id", "n", "asked", "known", *signs, F.posexplode(F.slice("t", F.lit(1), size)).alias("at", "w"))
+    small = first(n - up(n * max(contained, 2 * part)) + 1).select(F.xxhash64("w", "n").alias("key"), "id", "n", left.alias("left"), "asked", "known", *signs)
+    large = first(n - up(n * threshold) + 1).withColumn("low", up(n * threshold)).withColumn("high", F.least(n, down(left / contained), down(left / part - n)))
+    large = large.where("low <= high").withColumn("size", F.explode(F.sequence("low", "high")))
+    need = F.greatest(up(F.col("size") * contained), up((F.col("size") + n) * part))
+    large = large.select(F.xxhash64("w", "size").alias("key"), need.alias("need"), *[F.col(c).alias(f"{c}2") for c in ("id", "n", "asked", "known")], *[F.col(c).alias(f"{c}_2") for c in signs])
+    differ = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in signs])
+    close = (differ <= n + n2 - 2 * F.col("need")) & (F.col("left") >= F.col("need"))
+    once = (n < n2) | ((n == n2) & (F.col("id") < F.col("id2")))
+    asked = (F.col("asked") & F.col("known2")) | (F.col("asked2") & F.col("known"))
+    return small.join(large, (small["key"] == large["key"]) & close & once & asked).select("id", "id2").distinct()

@@ -46,6 +46,32 @@ def test_similar_questions_as_brute_force(spark):
     assert got == {(k, k2, -s) for k, (s, k2) in best.items()} and len(got) > 10
 
 
+def test_similar_questions_of_few_sentence_forms(spark):
+    # sentences of a few forms meet on many words; before, every two with one of many rare words in common were compared
+    r = random.Random(7)
+    words = [f"word{i}" for i in range(60)]
+    frames = [[f"frame{f}x{i}" for i in range(n)] for f, n in enumerate((0, 6, 9, 15))]
+    make = lambda: " ".join(r.choice(frames) + r.sample(words[: r.choice((12, 20, 60))], r.randint(4, 11)))
+    asked, known = ([(f"{side}{i}", make()) for i in range(700)] for side in "qh")
+    known += [(k, q + " word0") for k, q in asked[:40]] + [(f"h{i}x", q) for i, (_, q) in enumerate(asked[:20])]
+    best, near = {}, set()
+    for k, a in asked:
+        for k2, b in known:
+            x, y = set(a.split()), set(b.split())
+            score = 1.0 if a == b else len(x & y) / len(x | y) if min(len(x), len(y)) >= 5 and len(x & y) / min(len(x), len(y)) >= 0.8 else 0
+            if k != k2 and score >= 0.6:
+                best[k] = min(best.get(k, (0, "")), (-round(score, 6), k2))
+                near |= {frozenset((a, b))} if a != b else set()
+    old, new = (spark.createDataFrame(rows, "id string, q string") for rows in (known, asked))
+    got = {(x["id"], x["best_key"], x["score"]) for x in grounding.best_similar(new, old, "id", "q").collect()}
+    assert got == {(k, k2, -s) for k, (s, k2) in best.items()} and len(got) > 50
+    ids = {text: i for i, text in enumerate(sorted({q for _, q in asked + known}))}
+    rows = [(i, q in {x for _, x in asked}, q in {x for _, x in known}, sorted(set(q.split()))) for q, i in ids.items()]
+    sets = grounding._signed(spark.createDataFrame(rows, "id long, asked boolean, known boolean, t array<string>"))
+    pairs = [frozenset(x) for x in grounding._near_sets(sets, 0.6, 0.8).collect()]
+    assert {frozenset(ids[q] for q in pair) for pair in near} <= set(pairs) and len(pairs) == len(set(pairs)) < 4 * len(near)
+
+
 def test_aligned_lines(spark):
     answers = spark.createDataFrame([("t", "planner keeps tokens\n\n::\ngardens bloom"), ("u", None), ("v", "planner")], "g string, a string")
     bodies = spark.createDataFrame([("t", "the planner keeps many tokens"), ("t", None)], "g string, b string")
