@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -159,7 +160,8 @@ def _near_sets(sets: DataFrame, threshold: float, contained: float) -> DataFrame
 
     Such sets of sizes a <= b share at least contained * a and threshold / (1 + threshold) * (a + b) tokens. From the first of these
     on, in order of rarity, either set therefore has as many tokens left. The larger set is repeated for each size that the smaller
-    one may have, and meets it only on as many tokens as that size asks for. Signatures differ in no more bits than sets in tokens.
+    one may have, from 48 on for each step of 5 %, and meets it only on as many tokens as that size asks for. Signatures differ in no more
+    bits than sets in tokens.
     """
     # quotients are moved by a millionth to the side of more pairs, and words whose hashes are equal by chance add pairs too
     part, tiny = threshold / (1 + threshold), 1e-6
@@ -168,11 +170,14 @@ def _near_sets(sets: DataFrame, threshold: float, contained: float) -> DataFrame
     n, n2, left = F.col("n"), F.col("n2"), F.col("n") - F.col("at")
     signs = [f"s{i}" for i in range(_LONGS)]
     first = lambda size: sets.select("id", "n", "asked", "known", *signs, F.posexplode(F.slice("t", F.lit(1), size)).alias("at", "w"))
-    small = first(n - up(n * max(contained, 2 * part)) + 1).select(F.xxhash64("w", "n").alias("key"), "id", "n", left.alias("left"), "asked", "known", *signs)
-    large = first(n - up(n * threshold) + 1).withColumn("low", up(n * threshold)).withColumn("high", F.least(n, down(left / contained), down(left / part - n)))
-    large = large.where("low <= high").withColumn("size", F.explode(F.sequence("low", "high")))
-    need = F.greatest(up(F.col("size") * contained), up((F.col("size") + n) * part))
-    large = large.select(F.xxhash64("w", "size").alias("key"), need.alias("need"), *[F.col(c).alias(f"{c}2") for c in ("id", "n", "asked", "known")], *[F.col(c).alias(f"{c}_2") for c in signs])
+    step = lambda size: F.when(size <= 48, size).otherwise(48 + F.floor(F.log(size / 48) / math.log(1.05)).cast("int"))
+    size = F.when(F.col("step") <= 48, F.col("step")).otherwise(48 * F.pow(F.lit(1.05), F.col("step") - 48))
+    small = first(n - up(n * max(contained, 2 * part)) + 1).select(F.xxhash64("w", step(n)).alias("key"), "id", "n", left.alias("left"), "asked", "known", *signs)
+    high = [down(left / contained)] * (contained > 0) + [down(left / part - n)] * (part > 0)
+    large = first(n - up(n * threshold) + 1).withColumn("low", up(n * threshold)).withColumn("high", F.least(n, n, *high))
+    large = large.where("low <= high").withColumn("step", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))))
+    need = F.greatest(up(size * contained), up((size + n) * part))
+    large = large.select(F.xxhash64("w", "step").alias("key"), need.alias("need"), *[F.col(c).alias(f"{c}2") for c in ("id", "n", "asked", "known")], *[F.col(c).alias(f"{c}_2") for c in signs])
     differ = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in signs])
     close = (differ <= n + n2 - 2 * F.col("need")) & (F.col("left") >= F.col("need"))
     once = (n < n2) | ((n == n2) & (F.col("id") < F.col("id2")))

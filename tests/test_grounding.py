@@ -54,6 +54,10 @@ def test_similar_questions_of_few_sentence_forms(spark):
     make = lambda: " ".join(r.choice(frames) + r.sample(words[: r.choice((12, 20, 60))], r.randint(4, 11)))
     asked, known = ([(f"{side}{i}", make()) for i in range(700)] for side in "qh")
     known += [(k, q + " word0") for k, q in asked[:40]] + [(f"h{i}x", q) for i, (_, q) in enumerate(asked[:20])]
+    for i, n in enumerate((45, 60, 120, 300, 300)):
+        long = [f"long{i}x{j}" for j in range(n)]
+        asked.append((f"l{i}", " ".join(long)))
+        known += [(f"m{i}x{share}", " ".join(r.sample(long, int(n * share)) + [f"more{share}x{j}" for j in range(int(n * extra))])) for share, extra in ((1, 0.1), (0.95, 0), (0.85, 0.15), (0.62, 0), (0.58, 0), (0.8, 0.19), (1, 0.66), (1, 0.68))]
     best, near = {}, set()
     for k, a in asked:
         for k2, b in known:
