@@ -111,6 +111,29 @@ def overlapping_batches(items: Column, size: int = 5, coverage: int = 2) -> Colu
     return _bound(F.array_distinct(F.filter(items, lambda x: x != "")), lambda once: _bound(F.size(once), lambda n: dealt(once, n)))
 
 
+def batches_of(at: Column, n: Column, size: int = 5, coverage: int = 2) -> Column:
+    """(turn, batch), from 0, of the batches in which ``overlapping_batches`` puts the item with index ``at`` of a list of ``n`` distinct items.
+
+    Nothing is read but the item's own index, so the list may have any length and is never held in one place.
+    """
+    wide = F.greatest(F.lit(2), F.least(F.lit(size), n))
+
+    def found(p: int) -> Column:
+        # the odd primes from 7 to 59 multiply to more than any BIGINT, so one of them doesn't divide ``n``
+        tried = [(s, [q for q in range(2, s + 1) if s % q == 0 and all(q % d for d in range(2, q))]) for s in range(1 + 2 * p, 60)]
+        return F.coalesce(*[F.when(reduce(lambda a, b: a & b, [n % q != 0 for q in primes], F.lit(True)), F.lit(s)) for s, primes in tried])
+
+    def one(p: int) -> Column:
+        start = (p * F.greatest(F.lit(1), F.floor(wide / 2))) % n
+        # the walk is at ``at`` after so many steps of ``stride`` as make ``way`` plus some whole rounds of ``n``
+        way = F.pmod(start - at if p % 2 else at - start, n)
+        steps = lambda w, stride: F.element_at(F.filter(F.transform(F.sequence(F.lit(0), stride - 1), lambda k: w + k * n), lambda x: x % stride == 0), 1) / stride
+        place = _bound(F.struct(way.alias("way"), found(p).alias("stride")), lambda v: steps(v["way"], v["stride"])) if p else at
+        return F.struct(F.lit(p).alias("turn"), F.floor(place / wide).alias("batch"))
+
+    return F.array(*[one(p) for p in range(max(1, min(coverage, 4)))])
+
+
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once; an expression in the lambda of a list is computed again for each of its items."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -61,6 +61,18 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], into: str = "seq"
     return running(df.withColumn("__one", F.lit(1)), keys, order, {into: ("count", "__one")}, parts).drop("__one")
 
 
+def placed(df: DataFrame, keys: list[str], order: list[str], into: str = "seq", size: str = "n", parts: int | None = None) -> DataFrame:
+    """``df`` with the place of each row in its key, from 1, and the number of its key's rows."""
+    rows = ranged(df, keys, order, parts)
+    own, every = F.col("__own"), Window.partitionBy(*keys)
+    earlier = every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    left = rows.groupBy(*keys, "__part").agg(F.count("*").alias("__own"))
+    carried = left.withColumn("__carry", F.struct(F.coalesce(F.sum(own).over(earlier), F.lit(0)).alias("before"), F.sum(own).over(every).alias("all"))).drop("__own")
+    here = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    both = _joined(rows.withColumn("__here", here), carried, keys)
+    return both.withColumn(into, F.col("__here") + F.col("__carry.before")).withColumn(size, F.col("__carry.all")).drop("__here", "__carry", "__part")
+
+
 def previous(df: DataFrame, keys: list[str], order: list[str], column: str, into: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``column`` of the row before in the same key; null for the first."""
     rows = ranged(df, keys, order, parts)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import terms
-from cairn.operators import experiments, grounding, ranking
+from cairn.operators import experiments, grounding, ordered, ranking
 from cairn.plans.catalog import query
 from cairn.sources.tables import table
 
@@ -224,15 +224,26 @@ def _batches(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("task_group_id", (F.floor(F.col("at") / F.col("per_pass")) * 1000 + F.col("at") % F.col("per_pass")).alias("batch"), "items")
 
 
+def _seats(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each task and batch of it, of all groups of two tasks and more; no group's tasks are held in one place."""
+    rows = table(spark, folder, "training_tasks").where("task_group_id IS NOT NULL AND task_id IS NOT NULL").select("task_group_id", F.col("task_id").alias("item")).distinct()
+    rows = ordered.placed(rows, ["task_group_id"], ["item"]).where("n >= 2")
+    rows = rows.select("task_group_id", "item", F.explode(experiments.batches_of(F.col("seq") - 1, F.col("n"))).alias("seat"))
+    return rows.select("task_group_id", (F.col("seat.turn") * 1000 + F.col("seat.batch")).alias("batch"), "item")
+
+
+_SEATS = _BATCHES.replace("BETWEEN 2 AND 200", ">= 2")
+
+
 @query(
-    f"""WITH {_BATCHES}, h AS (SELECT *, md5(item || '/' || batch) AS h FROM b), k AS (SELECT task_group_id, batch, item, ascii(substr(h, 2, 1)) AS confidence FROM h WHERE ascii(substr(h, 1, 1)) % 3 = 0),
+    f"""WITH {_SEATS}, h AS (SELECT *, md5(item || '/' || batch) AS h FROM b), k AS (SELECT task_group_id, batch, item, ascii(substr(h, 2, 1)) AS confidence FROM h WHERE ascii(substr(h, 1, 1)) % 3 = 0),
 a AS (SELECT task_group_id, item, count(*) AS appearances FROM b GROUP BY 1, 2), c AS (SELECT task_group_id, item, count(*) AS nominations, round(avg(confidence), 6) AS mean_confidence FROM k GROUP BY 1, 2),
 r AS (SELECT a.task_group_id, a.item, appearances, coalesce(nominations, 0) AS nominations, mean_confidence FROM a LEFT JOIN c USING (task_group_id, item))
 SELECT *, row_number() OVER (PARTITION BY task_group_id ORDER BY nominations DESC, mean_confidence DESC NULLS LAST, item) AS place FROM r QUALIFY place <= 3"""
 )
 def nominated_finalists(spark: SparkSession, folder: str) -> DataFrame:
-    """The three tasks of each group that were nominated most often, made-up calls nominating by a hash."""
-    rows = _batches(spark, folder).select("task_group_id", "batch", F.explode("items").alias("item")).withColumn("id", F.struct("task_group_id", "item"))
+    """The three tasks of each group of two and more that were nominated most often, made-up calls nominating by a hash."""
+    rows = _seats(spark, folder).withColumn("id", F.struct("task_group_id", "item"))
     digest = F.md5(F.concat_ws("/", "item", F.col("batch").cast("string")).cast("binary"))
     calls = rows.where(F.ascii(F.substring(digest, 1, 1)) % 3 == 0).select("batch", "id", F.ascii(F.substring(digest, 2, 1)).alias("confidence"))
     stats = experiments.nominations(rows.select("batch", "id"), calls, "batch", "id", "confidence").select("id.*", "appearances", "nominations", "mean_confidence")

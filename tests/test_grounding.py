@@ -1,13 +1,16 @@
 """Citations, facts, similar questions, experiments, merges and records on small cases."""
 
+import hashlib
 import json
 import math
 import random
 import time
 
+import duckdb
 from cairn.functions import evidence as E
 from cairn.functions import records as R
 from cairn.operators import evaluation, experiments, grounding, merging
+from cairn.plans import catalog, grounding_queries
 from pyspark.sql import functions as F
 
 
@@ -110,6 +113,50 @@ def test_batches_of_long_lists_as_brute_force(spark):
         assert got[n] == want
 
 
+def test_batches_of_items_as_those_of_lists(spark):
+    sizes = [1, 2, 3, 4, 6, 7, 15, 30, 105, 210, 426, 1155, 5003, 30030]
+    df = spark.createDataFrame([(n, at) for n in sizes for at in range(n)], "n bigint, at bigint")
+    got = {(r[0], r[1]): [tuple(b) for b in r[2]] for r in df.select("n", "at", experiments.batches_of(F.col("at"), F.col("n"), 5, 4)).collect()}
+    for n in sizes:
+        size = max(2, min(5, n))
+        for p in range(4):
+            stride = next(s for s in range(1 + 2 * p, 2 + 2 * p + n) if math.gcd(s, n) == 1) * (-1 if p % 2 else 1)
+            start = (p * max(1, size // 2)) % n
+            assert all(got[n, (start + i * stride) % n][p] == (p, i // size) for i in range(n))
+    far = 3 * 5 * 7 * 11 * 13 * 17 * 19 * 23 * 29
+    row = spark.createDataFrame([(far, far - 1)], "n bigint, at bigint").select(experiments.batches_of(F.col("at"), F.col("n"))).first()[0]
+    assert [tuple(b) for b in row] == [(0, (far - 1) // 5), (1, pow(4, -1, far) * 3 % far // 5)]
+
+
+def test_finalists_of_groups_of_any_size(spark, tmp_path):
+    # groups of more than 200 tasks were left out
+    sizes = {"one": 1, "two": 2, "200": 200, "201": 201, "426": 426, "1155": 1155}
+    tasks = [(g, f"{g}-{i:05d}") for g, n in sizes.items() for i in range(n)] + [("two", ""), (None, "x"), ("two", None), ("426", "426-00000")]
+    spark.createDataFrame(tasks, "task_group_id string, task_id string").write.parquet(f"{tmp_path}/training_tasks.parquet")
+    df = grounding_queries.nominated_finalists(spark, str(tmp_path))
+    got = {tuple(r) for r in df.collect()}
+    want = set()
+    for g, n in sizes.items():
+        items = sorted({t for k, t in tasks if k == g and t is not None})
+        n = len(items)
+        size, calls, seen = max(2, min(5, n)), {}, {}
+        for p in range(2 if n > 1 else 0):
+            stride = next(s for s in range(1 + 2 * p, 2 + 2 * p + n) if math.gcd(s, n) == 1) * (-1 if p else 1)
+            for i in range(n):
+                item = items[((p * max(1, size // 2)) % n + i * stride) % n]
+                h = hashlib.md5(f"{item}/{p * 1000 + i // size}".encode()).hexdigest()
+                seen[item] = seen.get(item, 0) + 1
+                calls.setdefault(item, []).extend([ord(h[1])] if ord(h[0]) % 3 == 0 else [])
+        mean = {i: round(sum(c) / len(c), 6) if c else None for i, c in calls.items()}
+        best = sorted(calls, key=lambda i: (-len(calls[i]), -(mean[i] or 0), i))[:3]
+        want |= {(g, i, seen[i], len(calls[i]), mean[i], place) for place, i in enumerate(best, 1)}
+    assert got == want and {g for g, *_ in got} == set(sizes) - {"one"}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW training_tasks AS SELECT * FROM '{tmp_path}/training_tasks.parquet/*.parquet'")
+    result = con.execute(catalog.SQL["nominated_finalists"])
+    assert [d[0] for d in result.description] == df.columns and set(result.fetchall()) == want
+
+
 def test_experiments(spark):
     base = spark.createDataFrame([("a", 1.0, 1.0), ("b", 1.0, None), ("c", 1.0, 2.0), ("d", None, None)], "k string, x double, y double")
     new = spark.createDataFrame([("a", 2.0, 0.0), ("b", 2.0, None), ("c", 1.0, 2.0), ("d", 1.0, None), ("e", 1.0, 1.0)], "k string, x double, y double")

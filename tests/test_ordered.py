@@ -18,6 +18,14 @@ def by_key(data):
     return out
 
 
+def test_placed_over_many_parts(spark):
+    data = rows()
+    df = spark.createDataFrame(data, "k string, o int, v int")
+    got = {(r["k"], r["o"]): (r["seq"], r["n"]) for r in ordered.placed(df, ["k"], ["o"], parts=9).collect()}
+    assert got == {(k, o): (i, len(list_)) for k, list_ in by_key(data).items() for i, (o, _) in enumerate(list_, 1)}
+    assert ordered.placed(df.where("false"), ["k"], ["o"]).count() == 0
+
+
 def test_running_and_previous_over_many_parts(spark):
     data = rows()
     df = spark.createDataFrame(data, "k string, o int, v int")
